@@ -8,7 +8,7 @@ union-find, and the first line of each component stays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +25,22 @@ LEAST_CHARS = 24
 SIMILARITY = 0.8
 BANDS, PER_BAND = 12, 4
 #: Values that each shingle throws at the bins of the signature.
-THROWS = 3
+THROWS = 2
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
-def signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, bins: int = BANDS * PER_BAND) -> np.ndarray:
-    """One-permutation MinHash of the lines given as runs of code points; empty bins borrow from the bin before."""
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the offsets of the rows among them."""
+    points = np.frombuffer(bytes(data).decode("utf-8").encode("utf-32-le"), np.uint32)
+    return points, np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+
+
+def shingle_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of lines given as runs of code points, and how many each line has."""
     up, down = _power_tables()
-    runs = ends - starts - (SHINGLE - 1)
-    n = len(points)
-    hashes = np.empty(max(0, n - SHINGLE + 1), np.uint64)
+    runs = np.maximum(0, ends - starts - (SHINGLE - 1))
+    hashes = np.empty(max(0, len(points) - SHINGLE + 1), np.uint64)
     step = len(up) - SHINGLE - 1
     for a in range(0, len(hashes), step):
         b = min(len(hashes), a + step)
@@ -43,8 +48,12 @@ def signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, bins: i
         np.cumsum((points[a : b + SHINGLE - 1].astype(np.uint64) + np.uint64(1)) * up[: b - a + SHINGLE - 1], out=sums[1:])
         hashes[a:b] = (sums[SHINGLE:] - sums[: b - a]) * down[: b - a]
     first = np.cumsum(runs) - runs
-    at = np.arange(runs.sum()) + np.repeat(starts - first, runs)
-    own = mix(hashes[at])
+    return mix(hashes[np.arange(runs.sum()) + np.repeat(starts - first, runs)]), runs
+
+
+def signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, bins: int = BANDS * PER_BAND) -> np.ndarray:
+    """One-permutation MinHash of the lines given as runs of code points; empty bins borrow from the bin before."""
+    own, runs = shingle_hashes(points, starts, ends)
     base = np.repeat(np.arange(len(starts), dtype=np.int64) * bins, runs)
     signature = np.full(len(starts) * bins, _EMPTY, np.uint32)
     for odd in _ODD[:THROWS]:
@@ -70,12 +79,11 @@ def line_bands(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batches_of(batch, "line", 1 << 20):
-                column = part.column("line")
-                data, offsets = text_bytes(column)
-                points = np.frombuffer(bytes(data).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-                edges = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+                part_nodes, one = np.unique(np.asarray(part.column("node")), return_index=True)
+                data, offsets = text_bytes(part.column("line").take(pa.array(one)))
+                points, edges = code_points(data, offsets)
                 keys = band_keys(signatures(points, edges[:-1], edges[1:]), BANDS, PER_BAND)
-                nodes = np.repeat(np.asarray(part.column("node")), BANDS)
+                nodes = np.repeat(part_nodes, BANDS)
                 for a in range(0, len(nodes), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(nodes[a : a + (1 << 16)]), pa.array(keys.ravel()[a : a + (1 << 16)])], ["node", "bucket"])
 
@@ -89,11 +97,24 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return long.select("row", "at", "line", F.xxhash64("line").alias("node"), F.xxhash64(F.lit(13), "line").alias("h2"))
 
 
-def jaccard(left: str, right: str) -> float:
-    """Exact Jaccard similarity of the sets of character shingles."""
-    a, b = ({x[i : i + SHINGLE] for i in range(len(x) - SHINGLE + 1)} for x in (left, right))
-    shared = len(a & b)
-    return shared / (len(a) + len(b) - shared)
+def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Exact Jaccard similarity of the sets of character shingles of two columns of lines, row by row."""
+    sides = []
+    for column in (left, right):
+        points, edges = code_points(*text_bytes(column))
+        hashes, runs = shingle_hashes(points, edges[:-1], edges[1:])
+        row = np.repeat(np.arange(len(runs)), runs)
+        order = np.lexsort((hashes, row))
+        h, r = hashes[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+        sides.append((h[new], r[new], np.bincount(r[new], minlength=len(runs))))
+    (ha, ra, na), (hb, rb, nb) = sides
+    h, r = np.concatenate([ha, hb]), np.concatenate([ra, rb])
+    order = np.lexsort((h, r))
+    h, r = h[order], r[order]
+    shared = np.bincount(r[1:][(h[1:] == h[:-1]) & (r[1:] == r[:-1])], minlength=len(na))
+    return shared / np.maximum(na + nb - shared, 1)
 
 
 def similar_lines(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -101,8 +122,9 @@ def similar_lines(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [jaccard(x, y) >= SIMILARITY for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in batches_of(batch, "left", 1 << 19):
+                keep = jaccard(part.column("left"), part.column("right")) >= SIMILARITY - 1e-12
+                yield part.select(["a", "b"]).filter(pa.array(keep))
 
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("left")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("line").alias("right")), "b")
@@ -116,24 +138,23 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     component is that of the smallest row and position.
     """
     lines = lines_of(docs)
-    reps = stored(lines.groupBy("node", "h2").agg(F.min(F.struct("row", "at")).alias("first"), F.count("*").alias("n")), "distinct-lines")
-    firsts = reps.select("first.row", "first.at")
-    members = line_bands(lines).distinct()
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = stored(pairs.distinct(), "line-pairs")
-        nodes = wanted.select(F.col("a").alias("node")).union(wanted.select(F.col("b").alias("node"))).distinct()
-        where = reps.join(nodes, "node").select("first.row", "first.at", "node")
-        texts = stored(lines.select("row", "at", "line").join(where, ["row", "at"]).select("node", "line"), "line-texts")
-        return similar_lines(wanted, texts)
-
-    roots = link_buckets(members, verify)
-    if roots is None:
-        kept = firsts
-    else:
-        placed = reps.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("h2")).alias("alone"), "first")
-        kept = placed.groupBy("root", "alone").agg(F.min("first").alias("first")).select("first.row", "first.at")
-    gone = lines.select("row", "at").join(kept, ["row", "at"], "left_anti")
+    same = lines.groupBy("node", "h2").agg(F.min(F.struct("row", "at")).alias("one"))
+    placed = stored(lines.select("row", "at", "node", "h2").join(same, ["node", "h2"]).select("row", "at", "node", ((F.col("row") == F.col("one.row")) & (F.col("at") == F.col("one.at"))).alias("first")), "lines")
+    firsts = placed.where("first").select("row", "at", "node")
+    members = line_bands(lines)
+
+    def prepare(nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        where = firsts.join(nodes, "node", "left_semi")
+        near = stored(lines.select("row", "at", "line").join(where, ["row", "at"]).select("node", "line"), "near-lines")
+        return lambda pairs: similar_lines(pairs, near)
+
+    roots = link_buckets(members, prepare)
+    gone = placed.where("not first").select("row", "at")
+    if roots is not None:
+        grouped = firsts.join(roots, "node").select("root", F.struct("row", "at").alias("place"))
+        kept = grouped.groupBy("root").agg(F.min("place").alias("kept"))
+        fuzzy = grouped.join(kept, "root").where("place <> kept").select("place.row", "place.at")
+        gone = gone.unionByName(fuzzy)
     return gone.groupBy("row").agg(F.collect_set("at").alias("gone"))
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Open buckets of at most this size are finished by comparing all their pairs of different components.
-SMALL = 64
-HUB_ROUNDS = 12
+SMALL = 48
+HUB_ROUNDS = 6
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -40,35 +40,45 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame | None:
     """Components of the verified links between nodes that share a bucket.
 
-    ``members(bucket, node)``; ``verify`` takes pairs ``(a, b)`` and returns
-    those that are links. All pairs of a bucket are decided without emitting
-    them: each round compares every node with one hub of its bucket, and only
-    those not yet connected to it; then the hub leaves. A large group of
-    copies is settled by its first hub. Buckets that stay open are finished by
-    all pairs of different components once they are small. So the components
-    are those of all links. None if there is no link.
+    ``members(bucket, node)`` may repeat rows. ``prepare`` gets the nodes that
+    share any bucket and returns a function from pairs ``(a, b)`` to those that
+    are links. All pairs of a bucket are decided without emitting them: each
+    round compares every node with one hub of its bucket, and only those not
+    yet connected to it; then the hub leaves. The hub is the node that shares
+    most buckets with others, so the origin of a group of copies settles the
+    whole group. Buckets that stay open are finished by all pairs of different
+    components. So the components are those of all links. None if there is no
+    link.
     """
-    spread = members.selectExpr("bucket", "node", "min(node) over (partition by bucket) as low", "max(node) over (partition by bucket) as high")
-    rest = stored(spread.where("low <> high").select("bucket", "node", F.col("low").alias("hub")).distinct(), "buckets")
-    edges = stored(verify(rest.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "links")
+    spread = members.selectExpr("bucket", "node", "min(node) over (partition by bucket) as low", "max(node) over (partition by bucket) as high", "count(*) over (partition by bucket) as n")
+    shared = stored(spread.where("low <> high").select("bucket", "node", "n").distinct(), "buckets")
+    central = shared.groupBy("node").agg(F.sum("n").alias("c"))
+    rest = shared.select("bucket", "node").join(central, "node").select("bucket", F.struct((-F.col("c")).alias("c"), "node").alias("place"))
+    verify = prepare(central.select("node"))
+    hub = rest.groupBy("bucket").agg(F.min("place").alias("hub"))
+    rest = stored(rest.join(hub, "bucket"), "hubs")
+    pair = lambda df: df.select(F.least("hub.node", "place.node").alias("a"), F.greatest("hub.node", "place.node").alias("b")).distinct()
+    edges = stored(verify(pair(rest.where("place <> hub"))), "links")
     rounds = 1
     while True:
         roots = connected_components(edges) if edges.limit(1).count() else None
-        rest = rest.where("node <> hub").select("bucket", "node")
-        labelled = rest.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp")) if roots is not None else rest.withColumn("comp", F.col("node"))
-        groups = labelled.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.struct("node", "comp")).alias("hub"), F.count("*").alias("n")).where("c1 <> c2")
-        rest = stored(labelled.join(groups.drop("c1", "c2"), "bucket").select("bucket", "node", "comp", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"), "n"), "open")
+        rest = rest.where("place <> hub").select("bucket", "place", F.col("place.node").alias("node"))
+        labelled = rest.join(roots, "node", "left").select("bucket", "place", F.coalesce("root", "node").alias("comp")) if roots is not None else rest.select("bucket", "place", F.col("node").alias("comp"))
+        groups = labelled.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.struct("place", "comp")).alias("first"), F.count("*").alias("n")).where("c1 <> c2")
+        rest = stored(labelled.join(groups.drop("c1", "c2"), "bucket").select("bucket", "place", "comp", F.col("first.place").alias("hub"), F.col("first.comp").alias("hub_comp"), "n"), "open")
         largest = rest.agg(F.max("n")).first()[0]
         if largest is None:
             return roots
-        if largest <= SMALL or rounds >= HUB_ROUNDS:
-            x, y = rest.select("bucket", F.col("node").alias("a"), "comp"), rest.select("bucket", F.col("node").alias("b"), F.col("comp").alias("other"))
+        last = largest <= SMALL or rounds >= HUB_ROUNDS
+        if last:
+            x, y = rest.select("bucket", F.col("place.node").alias("a"), "comp"), rest.select("bucket", F.col("place.node").alias("b"), F.col("comp").alias("other"))
             pairs = x.join(y, "bucket").where("a < b and comp <> other").select("a", "b").distinct()
-            edges = stored(edges.unionByName(verify(pairs)), "links")
-            return connected_components(edges) if edges.limit(1).count() else None
-        pairs = rest.where("comp <> hub_comp").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        else:
+            pairs = pair(rest.where("comp <> hub_comp"))
         edges = stored(edges.unionByName(verify(pairs)), "links")
         rounds += 1
+        if last:
+            return connected_components(edges) if edges.limit(1).count() else None

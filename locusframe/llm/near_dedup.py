@@ -11,7 +11,7 @@ coordinate is their weighted Jaccard similarity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -166,7 +166,12 @@ def classes(docs: DataFrame) -> DataFrame:
     same = some.groupBy("h1", "h2").agg(F.min("row").alias("rep"))
     members = some.join(same.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), F.explode("bands").alias("bucket"))
     texts = docs.select(F.col(ROW).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    roots = link_buckets(members, lambda pairs: near_links(pairs, texts))
+
+    def prepare(nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        near = stored(texts.join(nodes.select(F.col("node").alias("row")), "row", "left_semi"), "near-texts")
+        return lambda pairs: near_links(pairs, near)
+
+    roots = link_buckets(members, prepare)
     reps = found.select("row", "h1", "h2", F.size("bands").alias("n")).join(same, ["h1", "h2"], "left").select("row", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("row")).alias("rep"))
     if roots is None:
         return reps.select("row", F.col("rep").alias("class_row"))
