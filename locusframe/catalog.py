@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "load_points"
-MODULES: tuple[str, ...] = ()
+MODULES = ("locusframe.plans.space", "locusframe.plans.time_and_circle", "locusframe.plans.results")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
