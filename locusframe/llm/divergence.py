@@ -137,7 +137,9 @@ def judge(docs: DataFrame) -> DataFrame:
         "doc_id", "words", "n_words", "n_chars", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes",
         F.coalesce("ref_words", "pool_words").alias("ref_words"), F.coalesce("ref_word_p", "pool_word_p").alias("ref_word_p"), F.coalesce("ref_class_p", "pool_class_p").alias("ref_class_p"),
     )
-    known_words = held.withColumn("common", F.filter("words", lambda w: F.array_contains("ref_words", w))).drop("words")
+    # The words of all references, at most COMMON_WORDS for each of their few rows: a hash set sorts out most words of a text.
+    any_word = sorted(r[0] for r in known.select(F.explode("ref_words")).distinct().collect())
+    known_words = held.withColumn("common", F.filter("words", lambda w: w.isin(any_word) & F.array_contains("ref_words", w))).drop("words")
     counts = F.transform("ref_words", lambda t: F.size(F.filter("common", lambda w: w == t)).cast("double"))
     binned = known_words.withColumn("bins", F.concat(counts, F.array((F.col("n_words") - F.size("common")).cast("double")))).drop("common", "ref_words")
     distances = binned.withColumn("class_distance", js_distance(_normal(F.col("classes")), F.col("ref_class_p"))).withColumn("word_distance", js_distance(_normal(F.col("bins")), F.col("ref_word_p")))
