@@ -8,7 +8,7 @@ union-find, and the first line of each component stays.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,18 +97,24 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return long.select("row", "at", "line", F.xxhash64("line").alias("node"), F.xxhash64(F.lit(13), "line").alias("h2"))
 
 
+def tokens(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct character shingles of the lines and the row of each."""
+    points, edges = code_points(*text_bytes(lines))
+    hashes, runs = shingle_hashes(points, edges[:-1], edges[1:])
+    row = np.repeat(np.arange(len(runs)), runs)
+    order = np.lexsort((hashes, row))
+    h, r = hashes[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+    return h[new], r[new]
+
+
 def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
     """Exact Jaccard similarity of the sets of character shingles of two columns of lines, row by row."""
     sides = []
     for column in (left, right):
-        points, edges = code_points(*text_bytes(column))
-        hashes, runs = shingle_hashes(points, edges[:-1], edges[1:])
-        row = np.repeat(np.arange(len(runs)), runs)
-        order = np.lexsort((hashes, row))
-        h, r = hashes[order], row[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-        sides.append((h[new], r[new], np.bincount(r[new], minlength=len(runs))))
+        h, r = tokens(column)
+        sides.append((h, r, np.bincount(r, minlength=len(column))))
     (ha, ra, na), (hb, rb, nb) = sides
     h, r = np.concatenate([ha, hb]), np.concatenate([ra, rb])
     order = np.lexsort((h, r))
@@ -118,7 +124,7 @@ def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def similar_lines(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose lines (node, line) are similar enough."""
+    """Of pairs (a, b) those whose lines (node, text) are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,8 +132,8 @@ def similar_lines(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep = jaccard(part.column("left"), part.column("right")) >= SIMILARITY - 1e-12
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("left")), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("line").alias("right")), "b")
+    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
     return two.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -143,12 +149,11 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     firsts = placed.where("first").select("row", "at", "node")
     members = line_bands(lines)
 
-    def prepare(nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    def prepare(nodes: DataFrame) -> DataFrame:
         where = firsts.join(nodes, "node", "left_semi")
-        near = stored(lines.select("row", "at", "line").join(where, ["row", "at"]).select("node", "line"), "near-lines")
-        return lambda pairs: similar_lines(pairs, near)
+        return lines.select("row", "at", "line").join(where, ["row", "at"]).select("node", F.col("line").alias("text"))
 
-    roots = link_buckets(members, prepare)
+    roots = link_buckets(members, prepare, similar_lines, tokens, SIMILARITY)
     gone = placed.where("not first").select("row", "at")
     if roots is not None:
         grouped = firsts.join(roots, "node").select("root", F.struct("row", "at").alias("place"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Open buckets of at most this size are finished by comparing all their pairs of different components.
-SMALL = 48
-HUB_ROUNDS = 6
+#: Nodes and bytes of text of one side of a cell, on average; bytes of text that are cut into tokens at a time.
+BLOCK = 256
+BLOCK_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -40,45 +44,150 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame | None:
+def close_sets(left: np.ndarray, right: np.ndarray, row: np.ndarray, token: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows ``left`` and ``right`` are similar enough: a matrix of exact Jaccard similarities, cut at the threshold.
+
+    ``row`` and ``token`` list the sets, ``size`` has their sizes. Tokens of
+    one row alone are left out; the others are taken in slices of 4096, so
+    the two incidence matrices stay small however long the texts are.
+    """
+    _, code, often = np.unique(token, return_inverse=True, return_counts=True)
+    shared = often > 1
+    column = (np.cumsum(shared) - 1)[code]
+    use = shared[code]
+    row, column = row[use], column[use]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    place = [np.full(len(size), -1), np.full(len(size), -1)]
+    place[0][left], place[1][right] = np.arange(len(left)), np.arange(len(right))
+    both = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(shared.sum()), 4096):
+        part = slice(*np.searchsorted(column, [low, low + 4096]))
+        sides = []
+        for where, n in zip(place, both.shape, strict=True):
+            at = where[row[part]]
+            side = np.zeros((n, 4096), np.float32)
+            side[at[at >= 0], column[part][at >= 0] - low] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    union = size[left][:, None] + size[right][None, :] - both.astype(np.float64)
+    return both >= (similarity - 1e-12) * np.maximum(union, 1)
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Numbers of the links (a, b) that join what earlier ones have not."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    keep = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        if (x := top(x)) != (y := top(y)):
+            above[x] = y
+            keep.append(i)
+    return keep
+
+
+def compare_cells(cells: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], similarity: float) -> DataFrame:
+    """Links (a, b) inside the cells of ``cells(hub, i, j, node, comp, part, text)``.
+
+    A cell has about BLOCK rows to each side: those with bit 1 of ``part`` are
+    compared with those with bit 2, where ``comp`` differs. Of the links of a
+    cell as many are returned as join its components, and no more.
+    """
+
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = np.stack([np.asarray(rows.column(k)) for k in ("hub", "i", "j")])
+        cuts = np.append(np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))), rows.num_rows)
+        size = np.asarray(pc.binary_length(rows.column("text")).fill_null(0)).astype(np.int64)
+        ends, k = np.cumsum(size), 0
+        while k < len(cuts) - 1:
+            start = ends[cuts[k]] - size[cuts[k]]
+            to = max(k + 1, int(np.searchsorted(ends[cuts[k + 1 :] - 1], start + BATCH_BYTES, "right")) + k)
+            some = rows.slice(cuts[k], cuts[to] - cuts[k]).combine_chunks()
+            token, row = tokens(some.column("text"))
+            many = np.bincount(row, minlength=some.num_rows)
+            node, comp, part = (np.asarray(some.column(c)) for c in ("node", "comp", "part"))
+            a, b = [], []
+            first = np.searchsorted(row, cuts[k : to + 1] - cuts[k])
+            for c in range(to - k):
+                low, high = cuts[k + c] - cuts[k], cuts[k + c + 1] - cuts[k]
+                left, right = np.flatnonzero(part[low:high] & 1), np.flatnonzero(part[low:high] & 2)
+                own = comp[low:high]
+                if len(left) and len(right) and (own != own[0]).any():
+                    own_tokens = slice(first[c], first[c + 1])
+                    close = close_sets(left, right, row[own_tokens] - low, token[own_tokens], many[low:high], similarity)
+                    x, y = np.nonzero(close & (own[left][:, None] != own[right][None, :]))
+                    keep = _forest(own[left[x]], own[right[y]])
+                    a.append(node[low + left[x[keep]]])
+                    b.append(node[low + right[y[keep]]])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            k = to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            now = now if rest is None else pa.concat_tables([rest, now])
+            last = np.ones(now.num_rows, bool)
+            for k in ("hub", "i", "j"):
+                column = np.asarray(now.column(k))
+                last &= column == column[-1]
+            whole = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if whole:
+                yield from links(now.slice(0, whole))
+            rest = now.slice(whole)
+        if rest is not None:
+            yield from links(rest)
+
+    dealt = cells.select("hub", "i", "j", "node", "comp", "part", "text").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], tokens: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], similarity: float) -> DataFrame | None:
     """Components of the verified links between nodes that share a bucket.
 
     ``members(bucket, node)`` may repeat rows. ``prepare`` gets the nodes that
-    share any bucket and returns a function from pairs ``(a, b)`` to those that
-    are links. All pairs of a bucket are decided without emitting them: each
-    round compares every node with one hub of its bucket, and only those not
-    yet connected to it; then the hub leaves. The hub is the node that shares
-    most buckets with others, so the origin of a group of copies settles the
-    whole group. Buckets that stay open are finished by all pairs of different
-    components. So the components are those of all links. None if there is no
-    link.
+    share any bucket and returns their texts (node, text); ``verify`` gets
+    pairs (a, b) and these texts and returns those pairs that are links;
+    ``tokens`` gives the sets whose Jaccard similarity counts, as arrays of
+    token and row in the order of rows. None if there is no link.
+
+    Every pair of a bucket is decided without emitting it. Each bucket has a
+    hub, the node that shares most buckets with others, so that the origin of
+    a family is the hub of nearly all of its buckets. First each node is
+    compared with the hubs of its buckets. Two nodes of a bucket are then in
+    one component, or in one hub's group and one of them outside the hub's
+    component. These outsiders are compared with the whole group: both are cut
+    into blocks, and each cell of two blocks is a matrix of exact similarities
+    made in one place. Groups are told by hub and not by bucket, so what two
+    nodes share in many bands is compared once.
     """
     spread = members.selectExpr("bucket", "node", "min(node) over (partition by bucket) as low", "max(node) over (partition by bucket) as high", "count(*) over (partition by bucket) as n")
     shared = stored(spread.where("low <> high").select("bucket", "node", "n").distinct(), "buckets")
-    central = shared.groupBy("node").agg(F.sum("n").alias("c"))
-    rest = shared.select("bucket", "node").join(central, "node").select("bucket", F.struct((-F.col("c")).alias("c"), "node").alias("place"))
-    verify = prepare(central.select("node"))
-    hub = rest.groupBy("bucket").agg(F.min("place").alias("hub"))
-    rest = stored(rest.join(hub, "bucket"), "hubs")
-    pair = lambda df: df.select(F.least("hub.node", "place.node").alias("a"), F.greatest("hub.node", "place.node").alias("b")).distinct()
-    edges = stored(verify(pair(rest.where("place <> hub"))), "links")
-    rounds = 1
-    while True:
-        roots = connected_components(edges) if edges.limit(1).count() else None
-        rest = rest.where("place <> hub").select("bucket", "place", F.col("place.node").alias("node"))
-        labelled = rest.join(roots, "node", "left").select("bucket", "place", F.coalesce("root", "node").alias("comp")) if roots is not None else rest.select("bucket", "place", F.col("node").alias("comp"))
-        groups = labelled.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.struct("place", "comp")).alias("first"), F.count("*").alias("n")).where("c1 <> c2")
-        rest = stored(labelled.join(groups.drop("c1", "c2"), "bucket").select("bucket", "place", "comp", F.col("first.place").alias("hub"), F.col("first.comp").alias("hub_comp"), "n"), "open")
-        largest = rest.agg(F.max("n")).first()[0]
-        if largest is None:
-            return roots
-        last = largest <= SMALL or rounds >= HUB_ROUNDS
-        if last:
-            x, y = rest.select("bucket", F.col("place.node").alias("a"), "comp"), rest.select("bucket", F.col("place.node").alias("b"), F.col("comp").alias("other"))
-            pairs = x.join(y, "bucket").where("a < b and comp <> other").select("a", "b").distinct()
-        else:
-            pairs = pair(rest.where("comp <> hub_comp"))
-        edges = stored(edges.unionByName(verify(pairs)), "links")
-        rounds += 1
-        if last:
-            return connected_components(edges) if edges.limit(1).count() else None
+    central = stored(shared.groupBy("node").agg(F.sum("n").alias("c")), "central")
+    placed = shared.select("bucket", "node").join(central, "node").select("bucket", F.struct((-F.col("c")).alias("c"), "node").alias("place"))
+    hub = placed.groupBy("bucket").agg(F.min("place").alias("first")).select("bucket", F.col("first.node").alias("hub"))
+    stars = stored(shared.select("bucket", "node").join(hub, "bucket").where("node <> hub").select("hub", "node").distinct(), "stars")
+    texts = stored(prepare(central.select("node")), "near-texts")
+    edges = stored(verify(stars.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), texts), "links")
+    roots = stored(connected_components(edges), "roots") if edges.limit(1).count() else None
+
+    comp = lambda df, node, name: df.withColumn(name, F.col(node)) if roots is None else df.join(roots.select(F.col("node").alias(node), F.col("root").alias("__root")), node, "left").withColumn(name, F.coalesce("__root", node)).drop("__root")
+    grouped = comp(comp(stars, "node", "comp"), "hub", "hub_comp").withColumn("outside", F.col("comp") != F.col("hub_comp"))
+    grouped = stored(grouped.join(texts.select("node", F.octet_length("text").alias("bytes")), "node"), "groups")
+    blocks = lambda some: F.ceil(F.greatest(F.sum(F.when(some, 1)) / BLOCK, F.sum(F.when(some, F.col("bytes"))) / BLOCK_BYTES)).cast("int")
+    kinds = grouped.groupBy("hub").agg(blocks(F.col("outside")).alias("ni"), blocks(F.lit(True)).alias("nj"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("ni is not null and c1 <> c2").select("hub", F.greatest("ni", F.lit(1)).alias("ni"), F.greatest("nj", F.lit(1)).alias("nj"))
+    of = grouped.join(kinds, "hub").withColumn("own", F.xxhash64(F.lit(29), "node"))
+    one = F.col("outside") & (F.col("ni") == 1) & (F.col("nj") == 1)
+    as_left = of.where("outside").select("hub", F.pmod("own", "ni").cast("int").alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), "node", "comp", F.when(one, 3).otherwise(1).alias("part"))
+    as_right = of.where(~one).select("hub", F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), F.pmod("own", "nj").cast("int").alias("j"), "node", "comp", F.lit(2).alias("part"))
+    more = compare_cells(as_left.unionByName(as_right).join(texts, "node"), tokens, similarity)
+    edges = stored(edges.unionByName(more.distinct()), "links")
+    return connected_components(edges) if edges.limit(1).count() else None

@@ -11,7 +11,7 @@ coordinate is their weighted Jaccard similarity.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -121,6 +121,22 @@ def sketches(docs: DataFrame, row: str = ROW) -> DataFrame:
     return rows.mapInArrow(run, "row bigint, h1 bigint, h2 bigint, bands array<bigint>")
 
 
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of the texts and the row of each; the nth of equal shingles is a token of its own.
+
+    So the Jaccard similarity of two texts' tokens is the weighted one of their
+    shingle counts.
+    """
+    words, _, _, rows = word_hashes(*text_bytes(texts))
+    hashes, first = shingles(words, rows, SHINGLE)
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(first))
+    order = np.lexsort((hashes, row))
+    h, r = hashes[order], row[order]
+    start = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])) if len(h) else np.zeros(0, np.int64)
+    nth = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h))))
+    return mix(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), r
+
+
 def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
     """Exact weighted Jaccard similarity of the shingle counts of two text columns, row by row."""
     sides = []
@@ -142,7 +158,7 @@ def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def near_links(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Of pairs (a, b) those whose texts (row, text) are similar enough."""
+    """Of pairs (a, b) those whose texts (node, text) are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +166,8 @@ def near_links(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARIT
                 score = weighted_jaccard(part.column("left"), part.column("right"))
                 yield part.select(["a", "b"]).filter(pa.array(score >= similarity - 1e-12))
 
-    one = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("left")), "a")
-    two = one.join(texts.select(F.col("row").alias("b"), F.col("text").alias("right")), "b")
+    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
     return two.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -167,11 +183,10 @@ def classes(docs: DataFrame) -> DataFrame:
     members = some.join(same.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), F.explode("bands").alias("bucket"))
     texts = docs.select(F.col(ROW).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    def prepare(nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        near = stored(texts.join(nodes.select(F.col("node").alias("row")), "row", "left_semi"), "near-texts")
-        return lambda pairs: near_links(pairs, near)
+    def prepare(nodes: DataFrame) -> DataFrame:
+        return texts.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "text")
 
-    roots = link_buckets(members, prepare)
+    roots = link_buckets(members, prepare, near_links, tokens, SIMILARITY)
     reps = found.select("row", "h1", "h2", F.size("bands").alias("n")).join(same, ["h1", "h2"], "left").select("row", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("row")).alias("rep"))
     if roots is None:
         return reps.select("row", F.col("rep").alias("class_row"))
