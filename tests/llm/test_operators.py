@@ -166,6 +166,31 @@ def test_lines(spark):
     assert (got[4].text, got[5].text, got[3].n_removed, got[1].n_removed) == (None, "", 1, 0)
 
 
+def test_cells_join_what_all_pairs_join(spark):
+    rng, rows = random.Random(9), []
+    for hub in range(6):
+        base = prose(90 + hub, 30)
+        for k in range(3 + 7 * hub):
+            at = [rng.randrange(len(base)) for _ in range(rng.randrange(0, 5))]
+            text = "".join("#" if i in at else c for i, c in enumerate(base)) if k else ""
+            rows.append((hub, 0, hub % 2, 100 * hub + k, 100 * hub + k // 2, rng.choice([1, 2, 3]), text))
+    cells = spark.createDataFrame(rows, "hub long, i int, j int, node long, comp long, part int, text string")
+
+    def groups(links):
+        root = {r[3]: r[4] for r in rows}
+        for a, b in links:
+            x, y = root[a], root[b]
+            root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+        return root
+
+    pairs = [(a[3], b[3], a[6], b[6]) for a in rows for b in rows if a[0] == b[0] and a[5] & 1 and b[5] & 2 and a[4] != b[4]]
+    close = line_dedup.jaccard(pa.array([p[2] for p in pairs]), pa.array([p[3] for p in pairs])) >= 0.8
+    want = groups([p[:2] for p, c in zip(pairs, close) if c])
+    got = [(r.a, r.b) for r in linking.compare_cells(cells, line_dedup.tokens, 0.8).collect()]
+    assert groups(got) == want and len(set(want.values())) < len({r[4] for r in rows})
+    assert len(got) <= len(rows)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
     got = {r.node: r.root for r in linking.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
