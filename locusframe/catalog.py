@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "load_points"
-MODULES = ("locusframe.plans.space", "locusframe.plans.time_and_circle", "locusframe.plans.results")
+MODULES = ("locusframe.plans.space", "locusframe.plans.time_and_circle", "locusframe.plans.results", "locusframe.plans.contours_and_decisions")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
