@@ -206,6 +206,35 @@ def test_class_probabilities_are_normalised():
     assert np.allclose(log_bilinear.score_classes(model, ids, first), [w[0, i] for w, i in zip(want, ids)], atol=1e-5)
 
 
+def test_every_text_and_rare_word_trains(spark):
+    """A pair of rare words is learned wherever it stands, and the words of one class add up to its probability."""
+    rows = [(i, " ".join(f"{random.Random(i).choice(WORDS)}{j % 9}" for j in range(300)) + " zzqah vvubo" * 1000) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = np.ones(1 + log_bilinear.RARE)
+    start, unigram = log_bilinear.begin(counts, (), np.random.default_rng(8))
+    one = log_bilinear.one_pass(docs, start, unigram, 0)
+    seen = {log_bilinear.rare_class(w) for _, t in rows for w in log_bilinear.tokens(t)}
+    moved = np.abs(one.vectors - start.vectors).max(axis=1) > 0
+    assert all(moved[1 + k] for k in seen) and moved[0]
+    a, b = (1 + log_bilinear.rare_class(w) for w in (b"zzqah", b"vvubo"))
+    context = np.array([[b, a], [a, b]])
+    table = log_bilinear.LogBilinear((), *one.parameters()).log10_probabilities(context)
+    assert table[0, b] > table[1, b]
+
+
+def test_scores_of_rare_words_depend_on_the_context(spark):
+    """Same words, other order: only a model that tells rare words apart scores the trained order higher."""
+    common = [(i, " ".join(f"w{j}" for j in range(520)) * 2) for i in range(20)]
+    trained = [(100 + i, "zzqah vvubo " * 2000) for i in range(60)]
+    docs = spark.createDataFrame([*common, *trained, (-1, "zzqah vvubo zzqah vvubo zzqah vvubo"), (-2, "zzqah zzqah zzqah vvubo vvubo vvubo")], "doc_id long, text string")
+    keep, log_bilinear.VOCABULARY = log_bilinear.VOCABULARY, 0
+    try:
+        got = {r.doc_id: r for r in log_bilinear.score_texts(docs).collect()}
+    finally:
+        log_bilinear.VOCABULARY = keep
+    assert abs(got[-1].base_score - got[-2].base_score) < 1e-9 and got[-1].score > got[-2].score + 0.1
+
+
 def test_poisson_mean_and_piecewise_draws(spark):
     from pyspark.sql import functions as F
 
