@@ -19,7 +19,7 @@ from .common import ROW, _power_tables, batches_of, mix, stored, text_bytes, wit
 from .linking import link_buckets
 from .near_dedup import band_keys
 
-#: Characters of a shingle, least characters of a line that is compared at all, least similarity.
+#: Characters of a shingle, least characters of a line that is compared unless every line is, least similarity.
 SHINGLE = 8
 LEAST_CHARS = 24
 SIMILARITY = 0.8
@@ -28,6 +28,7 @@ BANDS, PER_BAND = 12, 4
 THROWS = 2
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 _EMPTY = np.uint32(0xFFFFFFFF)
+_WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,11 +91,12 @@ def line_bands(docs: DataFrame) -> DataFrame:
     return docs.select("node", "line").mapInArrow(run, "node bigint, bucket bigint")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(row, at, line, node, h2) of every line that is long enough, in native operations."""
+def lines_of(docs: DataFrame, every: bool = False) -> DataFrame:
+    """(row, at, line, node, h2) of every line with a word, or only of those that are long enough, in native operations."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    long = docs.select(F.col(ROW).alias("row"), F.posexplode(F.split(text, "\n")).alias("at", "line")).where(F.char_length("line") >= LEAST_CHARS)
-    return long.select("row", "at", "line", F.xxhash64("line").alias("node"), F.xxhash64(F.lit(13), "line").alias("h2"))
+    lines = docs.select(F.col(ROW).alias("row"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    used = lines.where(F.col("line").rlike(_WORD) if every else F.char_length("line") >= LEAST_CHARS)
+    return used.select("row", "at", "line", F.xxhash64("line").alias("node"), F.xxhash64(F.lit(13), "line").alias("h2"))
 
 
 def tokens(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,17 +139,18 @@ def similar_lines(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     """(row, gone) of every document of ``docs(__row, text)`` that loses lines: the positions of those lines.
 
-    Equal lines are told by 128 bits of hash. The line that stays of a
+    Equal lines are told by 128 bits of hash. Lines shorter than a shingle are
+    one shingle each, so only equal ones are similar: they need no bands. The line that stays of a
     component is that of the smallest row and position.
     """
-    lines = lines_of(docs)
+    lines = lines_of(docs, every)
     same = lines.groupBy("node", "h2").agg(F.min(F.struct("row", "at")).alias("one"))
     placed = stored(lines.select("row", "at", "node", "h2").join(same, ["node", "h2"]).select("row", "at", "node", ((F.col("row") == F.col("one.row")) & (F.col("at") == F.col("one.at"))).alias("first")), "lines")
     firsts = placed.where("first").select("row", "at", "node")
-    members = line_bands(lines)
+    members = line_bands(lines.where(F.char_length("line") >= SHINGLE))
 
     def prepare(nodes: DataFrame) -> DataFrame:
         where = firsts.join(nodes, "node", "left_semi")
@@ -163,17 +166,18 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("row").agg(F.collect_set("at").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     """Texts with one line of each group of similar lines, over all documents.
 
-    Returns the columns of ``docs`` with text replaced, and n_removed. Lines
-    shorter than 24 characters are never removed. Documents that lose nothing,
+    Returns the columns of ``docs`` with text replaced, and n_removed. With
+    ``every`` all lines with a word are compared, however short; without it
+    those under 24 characters stay. Documents that lose nothing,
     null and empty texts included, keep their text as it is; a document that
     loses every line has the text left over, if only an empty one. Columns
     named n_removed are replaced; of equal rows the first keeps its lines.
     """
     own = with_row(docs.drop("n_removed"))
-    gone = stored(dropped_lines(own.select(ROW, "text")), "dropped-lines").withColumnRenamed("row", ROW)
+    gone = stored(dropped_lines(own.select(ROW, "text"), every), "dropped-lines").withColumnRenamed("row", ROW)
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     joined = own.join(gone, ROW, "left")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)

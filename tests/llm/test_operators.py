@@ -166,6 +166,20 @@ def test_lines(spark):
     assert (got[4].text, got[5].text, got[3].n_removed, got[1].n_removed) == (None, "", 1, 0)
 
 
+def test_short_lines(spark, tmp_path):
+    """Every line with a word counts in the query and the pipeline's stage; blank lines stay."""
+    import corpus_pipeline
+    from locusframe.llm import queries
+
+    rows = [(1, "Les.\n\nAll rights reserved.\na"), (2, "Les.\n\n \nAll rights reserved.\nb"), (3, "All rights reserved!\nab\nLes.\nLes\n\n"), (4, "Les."), (5, "some other line"), (6, None), (7, "\n")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC).coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {1: rows[0][1], 2: "\n \nb", 3: "ab\nLes\n\n", 4: "", 5: rows[4][1], 6: None, 7: "\n"}
+    assert {r.doc_id: r.text for r in queries.op10_fuzzy_lines(spark, str(tmp_path)).collect()} == want
+    stage = corpus_pipeline.drop_repeated_lines(spark, common.table(spark, str(tmp_path), "documents"), "")
+    assert {r.doc_id: r.text for r in stage.collect()} == {k: v for k, v in want.items() if k != 4}
+
+
 def test_cells_join_what_all_pairs_join(spark):
     rng, rows = random.Random(9), []
     for hub in range(6):
