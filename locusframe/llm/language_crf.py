@@ -22,8 +22,10 @@ from .common import LOWER, batches_of, fold, mix, text_bytes, word_hashes
 
 #: Sizes of the hashed feature tables.
 TRIGRAMS, AFFIXES, LEXICON = 15, 13, 16
-#: Bounds of the training sample: languages, documents of each, words of a document.
-LANGUAGES, DOCUMENTS, WORDS = 64, 300, 200
+#: Bounds of the training sample: documents of each language, words of a document.
+DOCUMENTS, WORDS = 300, 200
+#: With more languages than MANY each has fewer documents, FEW at least, and weights are of single precision.
+MANY, FEW = 64, 20
 SEQUENCE = 48
 FOLDS = 5
 #: Bytes that end a word: everything in ASCII but letters.
@@ -119,7 +121,8 @@ def train(texts: list[tuple[str, str]], languages: list[str], epochs: int = 3, r
     index = {x: i for i, x in enumerate(languages)}
     tri, first, fixed, rows, size = features(pa.array([t for _, t in texts], pa.string()))
     label = np.repeat(np.array([index[x] for x, _ in texts], np.int64), np.diff(rows))
-    weights, squares = np.zeros((FEATURES, k)), np.full((FEATURES, k), 1e-2)
+    real = np.float64 if k <= MANY else np.float32
+    weights, squares = np.zeros((FEATURES, k), real), np.full((FEATURES, k), 1e-2, real)
     trans, trans_squares = np.zeros((k, k)), np.full((k, k), 1e-2)
     if not len(label) or k == 1:
         return Crf(tuple(languages), weights.astype(np.float32), trans)
@@ -134,7 +137,7 @@ def train(texts: list[tuple[str, str]], languages: list[str], epochs: int = 3, r
         runs = [cuts[i] for i in rng.permutation(len(cuts))]
         words = np.concatenate([np.arange(a, b) for a, b in runs])
         words = words[: len(words) // SEQUENCE * SEQUENCE].reshape(-1, SEQUENCE)
-        for block in np.array_split(words, max(1, len(words) // 128)):
+        for block in np.array_split(words, max(1, len(words) // max(1, min(128, 128 * MANY // k)))):
             ids = block.ravel()
             if not len(ids):
                 continue
@@ -157,34 +160,34 @@ def train(texts: list[tuple[str, str]], languages: list[str], epochs: int = 3, r
             gamma /= gamma.sum(axis=2, keepdims=True)
             y = label[block]
             right = psi[:, 1:] * beta[:, 1:]
-            both = alpha[:, :-1, :, None] * step * right[:, :, None, :]
-            both /= both.sum(axis=(2, 3), keepdims=True)
-            g_trans = both.sum(axis=(0, 1))
+            before, right = alpha[:, :-1].reshape(-1, k), right.reshape(-1, k)
+            g_trans = step * ((before / ((before @ step) * right).sum(axis=1, keepdims=True)).T @ right)
             np.subtract.at(g_trans, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1.0)
             error = gamma.reshape(-1, k)
             error[np.arange(len(ids)), y.ravel()] -= 1.0
-            feature = np.concatenate([own, fixed[ids].T.ravel()])
-            spread = np.concatenate([np.repeat(error, sizes, axis=0), np.tile(error, (3, 1))])
+            used, code = np.unique(np.concatenate([own, fixed[ids].T.ravel()]), return_inverse=True)
             for j in range(k):
-                g = np.bincount(feature, weights=spread[:, j], minlength=FEATURES) / len(block)
-                squares[:, j] += g * g
-                weights[:, j] -= rate * g / np.sqrt(squares[:, j])
+                spread = np.concatenate([np.repeat(error[:, j], sizes), np.tile(error[:, j], 3)])
+                g = np.bincount(code, weights=spread, minlength=len(used)) / len(block)
+                squares[used, j] += g * g
+                weights[used, j] -= rate * g / np.sqrt(squares[used, j])
             g_trans /= len(block)
             trans_squares += g_trans * g_trans
             trans -= rate * g_trans / np.sqrt(trans_squares)
     return Crf(tuple(languages), weights.astype(np.float32), trans)
 
 
-def fit(docs: DataFrame, documents: int = DOCUMENTS, words: int = WORDS, languages: int = LANGUAGES) -> Crf:
-    """Train on at most ``documents`` texts of each of the ``languages`` most frequent languages outside fold 0.
+def fit(docs: DataFrame, documents: int = DOCUMENTS, words: int = WORDS) -> Crf:
+    """Train on at most ``documents`` texts of every language outside fold 0, fewer of each where there are more than MANY.
 
     Of a long training text a run of ``words`` words is taken; the sample is
     that of the smallest id hashes, so it does not depend on partitioning.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = usable.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return Crf(("und",), np.zeros((FEATURES, 1), np.float32), np.zeros((1, 1)))
+    documents = min(documents, max(FEW, documents * MANY // len(counts)))
     place = F.xxhash64(F.col("doc_id").cast("string"), F.lit(5))
     unit = F.pmod(place, F.lit(1 << 40)) / F.lit(float(1 << 40))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2.0 * documents + 50) / r["count"]))])
@@ -216,8 +219,8 @@ def predict(docs: DataFrame, crf: Crf) -> DataFrame:
     Score is the mean probability of the predicted language over all words.
     Null texts and those without a letter get ``und`` and 0; texts whose only
     letters stand in no word of the chain do not exist, since every letter
-    belongs to one. Ties go to the first language in order. The model is a
-    vector of fixed size.
+    belongs to one. Ties go to the first language in order. The model
+    has 115,000 weights for each language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
@@ -225,7 +228,7 @@ def predict(docs: DataFrame, crf: Crf) -> DataFrame:
         model = shared.value
         names = np.array(model.languages, object)
         for batch in batches:
-            for part in batches_of(batch, "text", 24 << 20):
+            for part in batches_of(batch, "text", (24 << 20) * 4 // max(4, len(names))):
                 gamma, rows = label_words(model, part.column("text"))
                 count = np.diff(rows)
                 sums = np.zeros((len(gamma) + 1, gamma.shape[1]))

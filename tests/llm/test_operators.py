@@ -116,6 +116,20 @@ def test_marginals_against_enumeration():
         assert np.allclose(got[a:b], want / want.sum(axis=1, keepdims=True), atol=1e-5)
 
 
+def test_every_language_is_learned(spark):
+    """70 languages, each of words of its own; the rarest have the fewest documents."""
+    rows = []
+    for k in range(70):
+        rng = random.Random(k)
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+        rows += [(100 * k + n, " ".join(rng.choice(own) for _ in range(40)), "l%02d" % k, "s", 0) for n in range(12 if k < 64 else 8)]
+    docs = spark.createDataFrame(rows, DOC).coalesce(2)
+    model = language_crf.fit(docs)
+    assert len(model.languages) == 70
+    got = {r.doc_id: r.lang_pred for r in language_crf.predict(docs, model).collect()}
+    assert all(got[r[0]] == r[2] for r in rows if r[2] >= "l64")
+
+
 def test_dart_signature_estimates_weighted_jaccard():
     a, b = prose(7, 400), prose(7, 400).replace("ranran", "x")
     left, right = pa.array([a + " " + a[:900], a]), pa.array([b, a + " " + prose(8, 60)])
