@@ -20,14 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary folder
-    takes its place.
+    Only a local session, whose driver is its executor, may go without one: a
+    temporary folder then takes its place. On a cluster that is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="locusframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,18 +43,72 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write to the shared folder as Parquet and read again."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def with_row(df: DataFrame, name: str = ROW) -> DataFrame:
-    """Add a row number that stays the same while the input table does.
+def discard(*tables: DataFrame | None) -> None:
+    """Delete stored tables that no later table is computed from."""
+    for df in tables:
+        if df is not None:
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not: ``name``, with more underscores if need be."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
-    ``df`` must be a table as read (files), so that a second scan deals the
-    same rows to the same splits.
+#: Operations that give the same rows in the same order to the same task whenever they run.
+_STEADY = frozenset("Project Filter Relation LogicalRDD LocalRelation SubqueryAlias".split())
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """``df`` itself if a second run deals the same rows to the same tasks, or else a stored copy.
+
+    Scans of files do, as long as their splits do not follow the number of
+    cores, which changes when executors are lost: so that number is pinned for
+    the session, unless it is set.
     """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    steps = {line.lstrip(" :+-").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()}
+    random = any(x in plan for x in ("rand(", "randn(", "uuid(", "shuffle("))
+    return df if steps <= _STEADY and not random else stored(df, "rows")
+
+
+def with_row(df: DataFrame, name: str = ROW) -> DataFrame:
+    """Add a row number that a second run gives again; ``df`` must be ``steady``."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+#: A key with more than 1 / HEAVY of all rows is heavy, so there are fewer than HEAVY of them.
+HEAVY = 4096
+
+
+def join_counted(many: DataFrame, one: DataFrame, key: str | list[str], n: str = "n") -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has a row for each key and in column ``n`` how many rows of ``many`` have it.
+
+    Fewer than HEAVY keys can hold more than 1 / HEAVY of the rows. Those are
+    broadcast, so their rows stay where they are; all others are shuffled,
+    and no task gets a group larger than that share. ``one`` should be stored.
+    """
+    keys = [key] if isinstance(key, str) else key
+    total = one.agg(F.sum(n)).first()[0] or 0
+    heavy = F.broadcast(one.where(F.col(n) > max(1024, total // HEAVY)))
+    light = one.where(F.col(n) <= max(1024, total // HEAVY)).hint("shuffle_hash")
+    alone = many.join(heavy.select(*keys), keys, "left_anti")
+    return many.join(heavy, keys).unionByName(alone.join(light, keys))
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -1,9 +1,9 @@
 """Fuzzy line deduplication by MinHash over character shingles.
 
-Equal lines become one node first. Every node gets a one-permutation MinHash
-signature of its character shingles, banded for high recall; candidates are
-verified by exact Jaccard similarity, links are joined by distributed
-union-find, and the first line of each component stays.
+Equal lines are one node. Every node gets a one-permutation MinHash signature
+of its character shingles, banded for high recall; candidates are verified by
+exact Jaccard similarity, links are joined by distributed union-find, and the
+first line of each component stays.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, _power_tables, batches_of, mix, stored, text_bytes, with_row
+from .common import _power_tables, batches_of, discard, join_counted, mix, steady, stored, text_bytes, unused, with_row
 from .linking import link_buckets
 from .near_dedup import band_keys
 
@@ -24,6 +24,8 @@ SHINGLE = 8
 LEAST_CHARS = 24
 SIMILARITY = 0.8
 BANDS, PER_BAND = 12, 4
+#: Lines that a task remembers to have banded.
+SEEN = 500_000
 #: Values that each shingle throws at the bins of the signature.
 THROWS = 2
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
@@ -74,27 +76,31 @@ def signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, bins: i
     return signature
 
 
-def line_bands(docs: DataFrame) -> DataFrame:
-    """(node, bucket) of the lines of ``docs(text)``, once for each text line of a batch; node is the line's xxhash64."""
+def line_bands(lines: DataFrame) -> DataFrame:
+    """(node, bands) of ``lines(node, line)``; a task gives the bands of a line that it has given lately no second time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in batches_of(batch, "line", 1 << 20):
-                part_nodes, one = np.unique(np.asarray(part.column("node")), return_index=True)
+                nodes, one = np.unique(np.asarray(part.column("node")), return_index=True)
+                new = np.array([x not in seen for x in nodes.tolist()], bool)
+                nodes, one = nodes[new], one[new]
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(nodes.tolist())
                 data, offsets = text_bytes(part.column("line").take(pa.array(one)))
                 points, edges = code_points(data, offsets)
                 keys = band_keys(signatures(points, edges[:-1], edges[1:]), BANDS, PER_BAND)
-                nodes = np.repeat(part_nodes, BANDS)
-                for a in range(0, len(nodes), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[a : a + (1 << 16)]), pa.array(keys.ravel()[a : a + (1 << 16)])], ["node", "bucket"])
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), bands], ["node", "bands"])
 
-    return docs.select("node", "line").mapInArrow(run, "node bigint, bucket bigint")
+    return lines.select("node", "line").mapInArrow(run, "node bigint, bands array<bigint>")
 
 
 def lines_of(docs: DataFrame, every: bool = False) -> DataFrame:
-    """(row, at, line, node, h2) of every line with a word, or only of those that are long enough, in native operations."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = docs.select(F.col(ROW).alias("row"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    """(row, at, line, node, h2) of every line of ``docs(row, text)`` with a word, or only of those that are long enough, in native operations."""
+    lines = docs.select("row", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     used = lines.where(F.col("line").rlike(_WORD) if every else F.char_length("line") >= LEAST_CHARS)
     return used.select("row", "at", "line", F.xxhash64("line").alias("node"), F.xxhash64(F.lit(13), "line").alias("h2"))
 
@@ -125,60 +131,56 @@ def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
     return shared / np.maximum(na + nb - shared, 1)
 
 
-def similar_lines(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose lines (node, text) are similar enough."""
+def kept_lines(docs: DataFrame, every: bool = False) -> DataFrame:
+    """(row, kept) of every document of ``docs(row, text)`` with a compared line that stays: the sorted positions of those lines.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in batches_of(batch, "left", 1 << 19):
-                keep = jaccard(part.column("left"), part.column("right")) >= SIMILARITY - 1e-12
-                yield part.select(["a", "b"]).filter(pa.array(keep))
-
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    return two.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
-
-
-def dropped_lines(docs: DataFrame, every: bool = False) -> DataFrame:
-    """(row, gone) of every document of ``docs(__row, text)`` that loses lines: the positions of those lines.
-
-    Equal lines are told by 128 bits of hash. Lines shorter than a shingle are
-    one shingle each, so only equal ones are similar: they need no bands. The line that stays of a
-    component is that of the smallest row and position.
+    Equal lines are told by 128 bits of hash; the graph of similar lines knows
+    them by the first 64. Lines shorter than a shingle are one shingle each,
+    so only equal ones are similar: they need no bands. The line that stays of
+    a component is that of the smallest row and position.
     """
     lines = lines_of(docs, every)
-    same = lines.groupBy("node", "h2").agg(F.min(F.struct("row", "at")).alias("one"))
-    placed = stored(lines.select("row", "at", "node", "h2").join(same, ["node", "h2"]).select("row", "at", "node", ((F.col("row") == F.col("one.row")) & (F.col("at") == F.col("one.at"))).alias("first")), "lines")
-    firsts = placed.where("first").select("row", "at", "node")
-    members = line_bands(lines.where(F.char_length("line") >= SHINGLE))
+    firsts = stored(lines.groupBy("node", "h2").agg(F.min(F.struct("row", "at")).alias("one")).select("node", "one.row", "one.at"), "first-lines")
+    sketches = stored(line_bands(lines.where(F.char_length("line") >= SHINGLE)), "line-sketches")
 
     def prepare(nodes: DataFrame) -> DataFrame:
-        where = firsts.join(nodes, "node", "left_semi")
-        return lines.select("row", "at", "line").join(where, ["row", "at"]).select("node", F.col("line").alias("text"))
+        wanted = firsts.join(nodes.hint("merge"), "node", "left_semi").groupBy("row").agg(F.collect_list(F.struct("node", "at")).alias("wanted"))
+        found = docs.join(wanted.hint("merge"), "row").select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("one"))
+        return found.select("one.node", F.element_at("lines", F.col("one.at") + 1).alias("text"))
 
-    roots = link_buckets(members, prepare, similar_lines, tokens, SIMILARITY)
-    gone = placed.where("not first").select("row", "at")
+    roots = link_buckets(sketches, prepare, tokens, SIMILARITY)
+    kept = firsts
     if roots is not None:
-        grouped = firsts.join(roots, "node").select("root", F.struct("row", "at").alias("place"))
-        kept = grouped.groupBy("root").agg(F.min("place").alias("kept"))
-        fuzzy = grouped.join(kept, "root").where("place <> kept").select("place.row", "place.at")
-        gone = gone.unionByName(fuzzy)
-    return gone.groupBy("row").agg(F.collect_set("at").alias("gone"))
+        grouped = stored(firsts.join(roots.hint("merge"), "node").select("root", "row", "at"), "similar-lines")
+        best = stored(grouped.groupBy("root").agg(F.min(F.struct("row", "at")).alias("best"), F.count("*").alias("n")), "best-lines")
+        others = join_counted(grouped, best, "root").where(F.struct("row", "at") != F.col("best")).select("row", "at")
+        kept = firsts.join(others.hint("merge"), ["row", "at"], "left_anti")
+    out = stored(kept.groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("kept")), "kept-lines")
+    discard(firsts, sketches, roots, *((grouped, best) if roots is not None else ()))
+    return out
 
 
 def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     """Texts with one line of each group of similar lines, over all documents.
 
-    Returns the columns of ``docs`` with text replaced, and n_removed. With
+    Returns the columns of ``docs`` with text replaced, and n_removed, which
+    replaces a column of that name; other columns may have any name. With
     ``every`` all lines with a word are compared, however short; without it
-    those under 24 characters stay. Documents that lose nothing,
-    null and empty texts included, keep their text as it is; a document that
-    loses every line has the text left over, if only an empty one. Columns
-    named n_removed are replaced; of equal rows the first keeps its lines.
+    those under 24 characters stay. Documents that lose nothing, null and
+    empty texts included, keep their text as it is; a document that loses
+    every line has the text left over, if only an empty one. Of equal rows and
+    lines the first keeps its line. Very long texts cost time in proportion to
+    their length. An empty table gives an empty one.
     """
-    own = with_row(docs.drop("n_removed"))
-    gone = stored(dropped_lines(own.select(ROW, "text"), every), "dropped-lines").withColumnRenamed("row", ROW)
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    joined = own.join(gone, ROW, "left")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in own.columns if c != ROW), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).alias("n_removed"))
+    own = steady(docs.drop("n_removed"))
+    row, kept = unused(own, "row"), unused(own, "kept")
+    own = with_row(own, row)
+    text = F.col("text").cast("string")
+    found = kept_lines(own.select(F.col(row).alias("row"), F.coalesce(text, F.lit("")).alias("text")), every)
+    joined = own.join(found.select(F.col("row").alias(row), F.col("kept").alias(kept)).hint("merge"), row, "left")
+    used = F.transform(F.split(text, "\n"), lambda x, i: F.when(x.rlike(_WORD) if every else F.char_length(x) >= LEAST_CHARS, i))
+    gone = F.array_except(F.array_compact(used), F.coalesce(kept, F.array().cast("array<int>")))
+    placed, gone_name = joined.withColumn(kept, gone), F.col(kept)
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1), gone_name), lambda i: F.get(F.split(text, "\n"), i))
+    n = F.when(text.isNull(), 0).otherwise(F.size(gone_name))
+    return placed.select(*(F.when(n > 0, F.array_join(left, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.drop("n_removed").columns), n.alias("n_removed"))

@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, join_counted, stored
 
 #: Nodes and bytes of text of one side of a cell, on average; bytes of text that are cut into tokens at a time.
 BLOCK = 256
@@ -19,11 +19,12 @@ BATCH_BYTES = 4 << 20
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges(a, b)``; root is the smallest node of its component.
+    """(node, root) of every node of ``edges(a, b)``, as a stored table; root is the smallest node of its component.
 
     Distributed union-find by alternating large and small stars: the number of
     rounds is logarithmic, each is two shuffles of at most as many edges, and
-    lineage is cut by a table in the shared folder after each round.
+    lineage is cut by a table in the shared folder after each round, which
+    replaces the one before.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
@@ -35,13 +36,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours move to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = stored(small.distinct(), "edges")
+        before, now = now, stored(small.distinct(), "edges")
+        discard(before)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             break
         mark = new
-    roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = stored(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    discard(now)
+    return roots
 
 
 def close_sets(left: np.ndarray, right: np.ndarray, row: np.ndarray, token: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
@@ -150,12 +154,15 @@ def compare_cells(cells: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarra
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], tokens: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], similarity: float) -> DataFrame | None:
-    """Components of the verified links between nodes that share a bucket.
+def _blocks(some: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.greatest(F.sum(F.when(some, 1)) / BLOCK, F.sum(F.when(some, F.col("bytes"))) / BLOCK_BYTES))).cast("int")
 
-    ``members(bucket, node)`` may repeat rows. ``prepare`` gets the nodes that
-    share any bucket and returns their texts (node, text); ``verify`` gets
-    pairs (a, b) and these texts and returns those pairs that are links;
+
+def link_buckets(sketches: DataFrame, prepare: Callable[[DataFrame], DataFrame], tokens: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], similarity: float) -> DataFrame | None:
+    """Components (node, root) of the verified links between nodes that share a bucket.
+
+    ``sketches(node, bands)`` is a stored table and may repeat rows. ``prepare``
+    gets the nodes that share any bucket and returns their texts (node, text);
     ``tokens`` gives the sets whose Jaccard similarity counts, as arrays of
     token and row in the order of rows. None if there is no link.
 
@@ -167,27 +174,45 @@ def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], DataFrame],
     component. These outsiders are compared with the whole group: both are cut
     into blocks, and each cell of two blocks is a matrix of exact similarities
     made in one place. Groups are told by hub and not by bucket, so what two
-    nodes share in many bands is compared once.
+    nodes share in many bands is compared once. Joins on buckets and hubs,
+    which may be very common, go by ``join_counted``.
     """
-    spread = members.selectExpr("bucket", "node", "min(node) over (partition by bucket) as low", "max(node) over (partition by bucket) as high", "count(*) over (partition by bucket) as n")
-    shared = stored(spread.where("low <> high").select("bucket", "node", "n").distinct(), "buckets")
+    members = sketches.select("node", F.explode("bands").alias("bucket"))
+    ends = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
+    buckets = stored(ends.where("low <> high").select("bucket", "n"), "buckets")
+    shared = stored(join_counted(members, buckets, "bucket").distinct(), "shared")
+    discard(buckets)
     central = stored(shared.groupBy("node").agg(F.sum("n").alias("c")), "central")
-    placed = shared.select("bucket", "node").join(central, "node").select("bucket", F.struct((-F.col("c")).alias("c"), "node").alias("place"))
-    hub = placed.groupBy("bucket").agg(F.min("place").alias("first")).select("bucket", F.col("first.node").alias("hub"))
-    stars = stored(shared.select("bucket", "node").join(hub, "bucket").where("node <> hub").select("hub", "node").distinct(), "stars")
-    texts = stored(prepare(central.select("node")), "near-texts")
-    edges = stored(verify(stars.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), texts), "links")
-    roots = stored(connected_components(edges), "roots") if edges.limit(1).count() else None
-
-    comp = lambda df, node, name: df.withColumn(name, F.col(node)) if roots is None else df.join(roots.select(F.col("node").alias(node), F.col("root").alias("__root")), node, "left").withColumn(name, F.coalesce("__root", node)).drop("__root")
-    grouped = comp(comp(stars, "node", "comp"), "hub", "hub_comp").withColumn("outside", F.col("comp") != F.col("hub_comp"))
-    grouped = stored(grouped.join(texts.select("node", F.octet_length("text").alias("bytes")), "node"), "groups")
-    blocks = lambda some: F.ceil(F.greatest(F.sum(F.when(some, 1)) / BLOCK, F.sum(F.when(some, F.col("bytes"))) / BLOCK_BYTES)).cast("int")
-    kinds = grouped.groupBy("hub").agg(blocks(F.col("outside")).alias("ni"), blocks(F.lit(True)).alias("nj"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("ni is not null and c1 <> c2").select("hub", F.greatest("ni", F.lit(1)).alias("ni"), F.greatest("nj", F.lit(1)).alias("nj"))
-    of = grouped.join(kinds, "hub").withColumn("own", F.xxhash64(F.lit(29), "node"))
+    placed = shared.join(central.hint("merge"), "node").select("bucket", "n", F.struct((-F.col("c")).alias("c"), "node").alias("place"))
+    hub = stored(placed.groupBy("bucket").agg(F.min("place").alias("first"), F.max("n").alias("n")).select("bucket", F.col("first.node").alias("hub"), "n"), "hubs-of-buckets")
+    texts = stored(prepare(central.select("node")).withColumn("bytes", F.octet_length("text")), "near-texts")
+    pairs = join_counted(shared.select("bucket", "node"), hub, "bucket").where("node <> hub").select("hub", "node").distinct()
+    stars = stored(pairs.join(texts.select("node", "bytes").hint("merge"), "node").select("hub", "node", "bytes"), "stars")
+    discard(shared, central, hub)
+
+    # Each node against its hubs.
+    sizes = stored(stars.groupBy("hub").agg(F.count("*").alias("n"), _blocks(F.lit(True)).alias("nj")), "hubs")
+    own = F.xxhash64(F.lit(29), "node")
+    as_left = sizes.select("hub", F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), F.col("hub").alias("node"), F.lit(1).alias("part"))
+    as_right = join_counted(stars, sizes, "hub").select("hub", F.pmod(own, "nj").cast("int").alias("j"), "node", F.lit(2).alias("part"))
+    cells = as_left.unionByName(as_right).withColumn("i", F.lit(0)).withColumn("comp", F.col("node"))
+    edges = stored(compare_cells(cells.join(texts.hint("merge"), "node"), tokens, similarity), "links")
+    roots = connected_components(edges)
+
+    # Outsiders of a hub's component against its whole group.
+    comp = lambda df, node, name: df.join(roots.select(F.col("node").alias(node), F.col("root").alias(name)).hint("merge"), node, "left").withColumn(name, F.coalesce(name, node))
+    grouped = stored(comp(stars, "node", "comp"), "groups")
+    mixed = comp(grouped.groupBy("hub").agg(F.count("*").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")), "hub", "hub_comp")
+    mixed = stored(mixed.where("c1 <> c2").select("hub", "n", "hub_comp"), "hubs")
+    some = stored(join_counted(grouped, mixed, "hub").select("hub", "node", "bytes", "comp", (F.col("comp") != F.col("hub_comp")).alias("outside")), "groups")
+    kinds = stored(some.groupBy("hub").agg(F.count("*").alias("n"), _blocks(F.col("outside")).alias("ni"), _blocks(F.lit(True)).alias("nj")), "hubs")
+    of = join_counted(some, kinds, "hub").withColumn("own", own)
     one = F.col("outside") & (F.col("ni") == 1) & (F.col("nj") == 1)
     as_left = of.where("outside").select("hub", F.pmod("own", "ni").cast("int").alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), "node", "comp", F.when(one, 3).otherwise(1).alias("part"))
     as_right = of.where(~one).select("hub", F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), F.pmod("own", "nj").cast("int").alias("j"), "node", "comp", F.lit(2).alias("part"))
-    more = compare_cells(as_left.unionByName(as_right).join(texts, "node"), tokens, similarity)
-    edges = stored(edges.unionByName(more.distinct()), "links")
-    return connected_components(edges) if edges.limit(1).count() else None
+    more = compare_cells(as_left.unionByName(as_right).join(texts.hint("merge"), "node"), tokens, similarity)
+    whole = stored(edges.unionByName(more), "links")
+    discard(stars, sizes, edges, roots, grouped, mixed, some, kinds, texts)
+    out = connected_components(whole) if whole.limit(1).count() else None
+    discard(whole)
+    return out

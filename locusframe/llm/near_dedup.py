@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, batches_of, mix, shingles, stored, text_bytes, with_row, word_hashes
+from .common import batches_of, discard, join_counted, mix, shingles, steady, stored, text_bytes, unused, with_row, word_hashes
 from .linking import link_buckets
 
 SHINGLE = 5
@@ -99,8 +99,8 @@ def band_keys(signature: np.ndarray, bands: int, per_band: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketches(docs: DataFrame, row: str = ROW) -> DataFrame:
-    """(row, h1, h2, bands) of every document: two hashes of the text and its band keys, none for a text without words."""
+def sketches(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, h1, h2, bands) of ``docs(row, doc_id, text)``: two hashes of the text and its band keys, none for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,11 +114,11 @@ def sketches(docs: DataFrame, row: str = ROW) -> DataFrame:
                 keys = keys[other][filled]
                 cuts = np.concatenate([[0], np.cumsum(filled * BANDS)]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("h1"), part.column("h2"), bands], ["row", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "h1", "h2")), bands], ["row", "doc_id", "h1", "h2", "bands"])
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col(row).alias("row"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(11), text).alias("h2"), text.alias("text"))
-    return rows.mapInArrow(run, "row bigint, h1 bigint, h2 bigint, bands array<bigint>")
+    rows = docs.select("row", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(11), "text").alias("h2"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"row bigint, doc_id {kind}, h1 bigint, h2 bigint, bands array<bigint>")
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -157,40 +157,37 @@ def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
     return shared / np.maximum(na + nb - shared, 1)
 
 
-def near_links(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Of pairs (a, b) those whose texts (node, text) are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in batches_of(batch, "left", 1 << 20):
-                score = weighted_jaccard(part.column("left"), part.column("right"))
-                yield part.select(["a", "b"]).filter(pa.array(score >= similarity - 1e-12))
-
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    return two.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
-
-
 def classes(docs: DataFrame) -> DataFrame:
-    """(row, class_row) of every document of ``docs(__row, text)``.
+    """(row, doc_id, class_id, first_row) of every document of ``docs(row, doc_id, text)``.
 
     Equal texts are one node before any band is dealt, so a group of exact
     copies costs one row per copy. A text without words is like no other.
+    ``first_row`` is the row of the smallest doc_id of the class, of equal ids
+    the first; ``class_id`` is that id.
     """
-    found = stored(sketches(docs), "sketches")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = stored(sketches(docs.select("row", "doc_id", text.alias("text"))), "sketches")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     some = found.where(F.size("bands") > 0)
-    same = some.groupBy("h1", "h2").agg(F.min("row").alias("rep"))
-    members = some.join(same.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), F.explode("bands").alias("bucket"))
-    texts = docs.select(F.col(ROW).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-    def prepare(nodes: DataFrame) -> DataFrame:
-        return texts.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "text")
-
-    roots = link_buckets(members, prepare, near_links, tokens, SIMILARITY)
-    reps = found.select("row", "h1", "h2", F.size("bands").alias("n")).join(same, ["h1", "h2"], "left").select("row", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("row")).alias("rep"))
-    if roots is None:
-        return reps.select("row", F.col("rep").alias("class_row"))
-    return reps.join(roots, reps.rep == roots.node, "left").select("row", F.coalesce("root", "rep").alias("class_row"))
+    same = stored(some.groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.min(place).alias("first"), F.count("*").alias("n")), "equal-texts")
+    nodes = stored(some.join(same.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi").select(F.col("row").alias("node"), "bands"), "node-sketches")
+
+    def prepare(wanted: DataFrame) -> DataFrame:
+        return docs.select(F.col("row").alias("node"), text.alias("text")).join(wanted.hint("merge"), "node", "left_semi")
+
+    roots = link_buckets(nodes, prepare, tokens, SIMILARITY)
+    if roots is not None:
+        # The smallest doc_id of each class goes to its texts, which then take it to their copies.
+        joined = stored(same.join(roots.select(F.col("node").alias("rep"), "root").hint("merge"), "rep").select("h1", "h2", "root", "first"), "linked-texts")
+        best = stored(joined.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("n")), "classes")
+        linked = join_counted(joined.select("h1", "h2", "root"), best, "root").select("h1", "h2", "best")
+        whole = stored(same.join(linked.hint("merge"), ["h1", "h2"], "left").select("h1", "h2", "n", F.coalesce("best", "first").alias("first")), "equal-texts")
+        discard(same, joined, best, roots)
+        same = whole
+    pairs = join_counted(some.select("row", "doc_id", "h1", "h2"), same, ["h1", "h2"]).select("row", "doc_id", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("first_row"))
+    out = stored(pairs.unionByName(found.where(F.size("bands") == 0).select("row", "doc_id", F.col("doc_id").alias("class_id"), F.col("row").alias("first_row"))), "classes")
+    discard(found, nodes, same)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -201,19 +198,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     document with that id is kept, of repeated ids the first row. Texts of
     fewer than five words are compared as one shingle; null and empty texts are
     each a class of their own. A null id is kept only if its class has no
-    other. Extra columns are ignored.
+    other. Very long texts throw no more darts than short ones. Extra columns
+    are ignored; an empty table gives an empty one.
     """
-    own = with_row(docs.select(F.col("doc_id"), "text"))
-    found = stored(classes(own), "classes").join(own.select(F.col(ROW).alias("row"), "doc_id"), "row")
-    first = found.groupBy("class_row").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
-    return found.join(first, "class_row").select("doc_id", F.col("first.doc_id").alias("class_id"), (F.col("row") == F.col("first.row")).alias("kept"))
+    own = with_row(steady(docs.select("doc_id", "text")), "row")
+    return classes(own).select("doc_id", "class_id", (F.col("row") == F.col("first_row")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without all but one document of each group of near duplicates."""
-    own = with_row(docs)
-    found = stored(classes(own.select(ROW, "text")), "classes")
-    ids = found.join(own.select(F.col(ROW).alias("row"), "doc_id"), "row")
-    first = ids.groupBy("class_row").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
-    gone = ids.join(first, "class_row").where("row <> first.row").select(F.col("row").alias(ROW))
-    return own.join(gone, ROW, "left_anti").drop(ROW)
+    """The rows of ``docs``, all columns, without all but one document of each group of near duplicates.
+
+    Which one stays, and what null, short and repeated texts do, is as in
+    ``near_duplicates``. Columns may have any name.
+    """
+    own = steady(docs)
+    row = unused(own, "row")
+    own = with_row(own, row)
+    found = classes(own.select(F.col(row).alias("row"), "doc_id", "text"))
+    gone = found.where("row <> first_row").select(F.col("row").alias(row))
+    return own.join(gone.hint("merge"), row, "left_anti").drop(row)
