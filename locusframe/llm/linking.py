@@ -211,8 +211,10 @@ def link_buckets(sketches: DataFrame, prepare: Callable[[DataFrame], DataFrame],
     as_left = of.where("outside").select("hub", F.pmod("own", "ni").cast("int").alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), "node", "comp", F.when(one, 3).otherwise(1).alias("part"))
     as_right = of.where(~one).select("hub", F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), F.pmod("own", "nj").cast("int").alias("j"), "node", "comp", F.lit(2).alias("part"))
     more = compare_cells(as_left.unionByName(as_right).join(texts.hint("merge"), "node"), tokens, similarity)
-    whole = stored(edges.unionByName(more), "links")
-    discard(stars, sizes, edges, roots, grouped, mixed, some, kinds, texts)
-    out = connected_components(whole) if whole.limit(1).count() else None
-    discard(whole)
-    return out
+    more = stored(more, "links")
+    if more.limit(1).count():
+        whole = edges.unionByName(more)
+        discard(roots)
+        roots = connected_components(whole)
+    discard(stars, sizes, edges, more, grouped, mixed, some, kinds, texts)
+    return roots if roots.limit(1).count() else None
