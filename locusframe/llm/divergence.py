@@ -25,7 +25,7 @@ LEAST_CHARS = 200
 LEAST_WORDS = 80
 CLASS_LIMIT = 0.26
 WORD_LIMIT = 0.42
-POOLED = "p"
+POOLED, NULL = "p", "n"
 
 
 def _without(text: Column, pattern: str) -> Column:
@@ -35,8 +35,9 @@ def _without(text: Column, pattern: str) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """Add to doc_id and lang: words and the counts of the base rules and of character classes.
 
-    Windows of three words are compared within one text by a 64-bit hash, less
-    the low bits that hold their place.
+    Windows of three words are sorted within one text by a 64-bit hash, less
+    the low bits that hold their place, and equal neighbours of that order are
+    compared word by word.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     split = docs.select("doc_id", key_text(F.col("lang")).alias("lang_key"), text.alias("text"), F.array_remove(F.split(text, SPACES + "+"), "").alias("words"))
@@ -64,10 +65,13 @@ def measured(docs: DataFrame) -> DataFrame:
         _without(F.col("text"), POINTS).cast("bigint").alias("points"),
     )
     top = lambda e: F.call_function("shiftright", e, F.col("bits"))
-    same = lambda e, k: F.coalesce(top(F.get("sorted", k - 1)) == top(e), F.lit(False)) | F.coalesce(top(F.get("sorted", k + 1)) == top(e), F.lit(False))
-    place = lambda e: e - F.call_function("shiftleft", top(e), F.col("bits"))
+    place = lambda e: (e - F.call_function("shiftleft", top(e), F.col("bits"))).cast("int")
+    word = lambda e, j: F.get("words", place(e) + j)
+    # Of words, only those of windows with equal hashes are looked at.
+    match = lambda e, x: F.coalesce((top(x) == top(e)) & (word(x, 0) == word(e, 0)) & (word(x, 1) == word(e, 1)) & (word(x, 2) == word(e, 2)), F.lit(False))
+    same = lambda e, k: match(e, F.get("sorted", k + 1)) | match(e, F.get("sorted", k - 1))
     repeated = counted.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint")).withColumn("at", F.sort_array(F.transform(F.filter("sorted", same), place)))
-    covered = F.aggregate(F.transform("at", lambda x, k: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get("at", k + 1) - x, F.lit(3).cast("bigint")))), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    covered = F.aggregate(F.transform("at", lambda x, k: F.least(F.lit(3), F.coalesce(F.get("at", k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     spaces = F.col("n_chars") - F.col("word_chars")
     rest = F.greatest(F.lit(0), F.col("n_chars") - spaces - F.col("wide") - F.col("digits") - F.col("upper") - F.col("points") - F.col("n_symbols"))
     classes = F.array(*(c.cast("double") for c in (rest, F.col("wide"), F.col("digits"), F.col("upper"), F.col("points"), F.col("n_symbols"), spaces)))
@@ -77,13 +81,14 @@ def measured(docs: DataFrame) -> DataFrame:
 def references(docs: DataFrame) -> DataFrame:
     """One reference for each language with a share of documents, and a pooled one for all others.
 
-    Counts cover all documents. Columns: lang_key, docs, ref_words (the most
-    common words), ref_word_p (their shares, then that of all other words) and
-    ref_class_p. Two passes over the texts, each reduced to a few rows.
+    Counts cover all documents, and those of the pool all words of all
+    languages. Columns: lang_key, docs, ref_words (the most common words),
+    ref_word_p (their shares, then that of all other words) and ref_class_p.
+    Two passes over the texts.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(key_text(F.col("lang")).alias("lang_key"), text.alias("text"))
-    words = keyed.select("lang_key", F.explode(F.array_remove(F.split("text", SPACES + "+"), "")).alias("word")).groupBy("lang_key", "word").agg(F.count("*").alias("n"))
+    words = stored(keyed.select("lang_key", F.explode(F.array_remove(F.split("text", SPACES + "+"), "")).alias("word")).groupBy("lang_key", "word").agg(F.count("*").alias("n")), "word-counts")
     rank = "row_number() over (partition by lang_key order by n desc, word) as place"
     # Spark keeps COMMON_WORDS rows of each language per task before it shuffles any by language.
     per_word = stored(words.selectExpr("*", rank).where(F.col("place") <= COMMON_WORDS), "common-words")
@@ -94,7 +99,7 @@ def references(docs: DataFrame) -> DataFrame:
     counted = keyed.groupBy("lang_key").agg(F.count("*").alias("docs"), n(F.size(F.array_remove(F.split("text", SPACES + "+"), ""))).alias("words"), n(F.char_length("text")).alias("chars"), *(n(c).alias(k) for k, c in parts.items()))
     sums = stored(counted, "class-sums")
     pooled_sums = sums.groupBy(F.lit(POOLED).alias("lang_key")).agg(*(F.sum(c).alias(c) for c in sums.columns[1:]))
-    pooled_words = per_word.groupBy(F.lit(POOLED).alias("lang_key"), "word").agg(F.sum("n").alias("n")).selectExpr("*", rank).where(F.col("place") <= COMMON_WORDS)
+    pooled_words = words.groupBy(F.lit(POOLED).alias("lang_key"), "word").agg(F.sum("n").alias("n")).selectExpr("*", rank).where(F.col("place") <= COMMON_WORDS)
     top = per_word.unionByName(pooled_words).groupBy("lang_key").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus"), "word"))).alias("top"))
     both = sums.unionByName(pooled_sums).join(top, "lang_key", "left")
     rest = F.col("chars")
@@ -122,14 +127,17 @@ def judge(docs: DataFrame) -> DataFrame:
     """Base counts, base_failed, both distances and kept for every document.
 
     Null text counts as empty (no word, so it fails the base rule of 50
-    words). A null or rare language, or one without words, is held against the
-    pooled reference. Ties among common words go to the smaller word. Extra
-    columns are ignored; an empty table gives an empty result.
+    words). A language with LEAST_SHARE of the documents and a word has a
+    reference of its own; all others, and a null language, are held against
+    the pool, since histograms of few documents say little. Ties among common
+    words go to the smaller word. Equal rows get equal verdicts; very long
+    texts are judged whole; extra columns, whatever their names, are ignored;
+    an empty table gives an empty result.
     """
     found = stored(references(docs), "language-references")
     total = found.where(F.col("lang_key") == POOLED).select(F.col("docs").alias("total"))
     # At most 1 / LEAST_SHARE languages and the pooled row pass this filter, so the broadcast is bounded.
-    kept_refs = found.join(F.broadcast(total)).where((F.col("lang_key") == POOLED) | ((F.col("docs") >= LEAST_SHARE * F.col("total")) & F.col("ref_words").isNotNull())).drop("docs", "total")
+    kept_refs = found.join(F.broadcast(total)).where((F.col("lang_key") == POOLED) | ((F.col("lang_key") != NULL) & (F.col("docs") >= LEAST_SHARE * F.col("total")) & F.col("ref_words").isNotNull())).drop("docs", "total")
     known = kept_refs.select(F.col("lang_key"), F.col("lang_key").alias("ref_key"), "ref_words", "ref_word_p", "ref_class_p")
     own = measured(docs).join(F.broadcast(known.where(F.col("lang_key") != POOLED)), "lang_key", "left")
     pool = known.where(F.col("lang_key") == POOLED).select(F.col("ref_words").alias("pool_words"), F.col("ref_word_p").alias("pool_word_p"), F.col("ref_class_p").alias("pool_class_p"))

@@ -23,7 +23,7 @@ from .common import LOWER, batches_of, fold, mix, text_bytes, word_hashes
 #: Sizes of the hashed feature tables.
 TRIGRAMS, AFFIXES, LEXICON = 15, 13, 16
 #: Bounds of the training sample: documents of each language, words of a document.
-DOCUMENTS, WORDS = 300, 200
+DOCUMENTS, WORDS = 200, 2_000
 #: With more languages than MANY each has fewer documents, FEW at least, and weights are of single precision.
 MANY, FEW = 64, 20
 SEQUENCE = 48
@@ -214,13 +214,14 @@ def label_words(crf: Crf, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def predict(docs: DataFrame, crf: Crf) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every document.
+    """doc_id, held_out, lang_pred, score for every document; extra columns, whatever their names, are ignored.
 
     Score is the mean probability of the predicted language over all words.
     Null texts and those without a letter get ``und`` and 0; texts whose only
     letters stand in no word of the chain do not exist, since every letter
-    belongs to one. Ties go to the first language in order. The model
-    has 115,000 weights for each language.
+    belongs to one. Very long texts are labelled whole; equal rows get equal
+    results; ties go to the first language in order; an empty table gives an
+    empty one. The model has 115,000 weights for each language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 

@@ -160,11 +160,11 @@ def kept_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     return out
 
 
-def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, every: bool = False, removed: str = "n_removed") -> DataFrame:
     """Texts with one line of each group of similar lines, over all documents.
 
-    Returns the columns of ``docs`` with text replaced, and n_removed, which
-    replaces a column of that name; other columns may have any name. With
+    Returns the columns of ``docs`` with text replaced, and the number of lines
+    ``removed``, in place of a column of that name; others may have any name. With
     ``every`` all lines with a word are compared, however short; without it
     those under 24 characters stay. Documents that lose nothing, null and
     empty texts included, keep their text as it is; a document that loses
@@ -172,7 +172,7 @@ def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     lines the first keeps its line. Very long texts cost time in proportion to
     their length. An empty table gives an empty one.
     """
-    own = steady(docs.drop("n_removed"))
+    own = steady(docs.drop(removed))
     row, kept = unused(own, "row"), unused(own, "kept")
     own = with_row(own, row)
     text = F.col("text").cast("string")
@@ -183,4 +183,4 @@ def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     placed, gone_name = joined.withColumn(kept, gone), F.col(kept)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1), gone_name), lambda i: F.get(F.split(text, "\n"), i))
     n = F.when(text.isNull(), 0).otherwise(F.size(gone_name))
-    return placed.select(*(F.when(n > 0, F.array_join(left, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.drop("n_removed").columns), n.alias("n_removed"))
+    return placed.select(*(F.when(n > 0, F.array_join(left, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.drop(removed).columns), n.alias(removed))

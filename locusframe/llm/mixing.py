@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, key_text
+from .common import bounded, key_text, unused
 
 #: Largest mean drawn at once; a larger one is a sum of independent draws.
 PIECE = 32.0
@@ -66,23 +66,25 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     Returns all columns of ``docs`` with rate, copy (from 1) and shuffle_key;
     rows are dealt to partitions and ordered there by the MD5-based key, which
     puts any copy at any place of the output with equal chance. Documents with
-    a null id are drawn by their text; equal rows get equal counts. An empty
-    table gives an empty result. Columns named rate, copy, shuffle_key or
-    source_key are replaced. Rates are broadcast only up to
+    a null id are drawn by their text; equal rows get equal counts. Null, empty
+    and very long texts are rows like any other. An empty table gives an empty
+    result. Columns named rate, copy or shuffle_key are replaced; others may
+    have any name. Rates are broadcast only up to
     ``broadcast_rows`` sources; beyond that they are joined by salted keys, as
     one source may hold a third of all rows.
     """
-    docs = docs.drop("rate", "copy", "shuffle_key", "source_key", "__salt")
-    rates = source_rates(docs, weights, temperature, epoch).select("source_key", "rate")
+    docs = docs.drop("rate", "copy", "shuffle_key")
+    own_key, salt, drawn = (unused(docs, x) for x in ("source_key", "salt", "drawn"))
+    rates = source_rates(docs, weights, temperature, epoch).select(F.col("source_key").alias(own_key), "rate")
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    keyed = docs.withColumn("source_key", key_text(F.col("source")))
+    keyed = docs.withColumn(own_key, key_text(F.col("source")))
     if bounded(docs.select("source").distinct(), broadcast_rows):
-        rated = keyed.join(F.broadcast(rates), "source_key")
+        rated = keyed.join(F.broadcast(rates), own_key)
     else:
-        keyed = keyed.withColumn("__salt", F.pmod(F.hash(key), F.lit(salts)))
-        rated = keyed.join(rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["source_key", "__salt"]).drop("__salt")
+        keyed = keyed.withColumn(salt, F.pmod(F.hash(key), F.lit(salts)))
+        rated = keyed.join(rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [own_key, salt]).drop(salt)
     n = copies(F.col("rate"), key, seed)
-    taken = rated.withColumn("__n", n).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n", "source_key")
+    taken = rated.withColumn(drawn, n).where(F.col(drawn) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(drawn)))).drop(drawn, own_key)
     placed = taken.withColumn("shuffle_key", uniform(F.lit(str(seed)), F.lit("place"), key, F.col("copy").cast("string")))
     return placed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")
 

@@ -123,17 +123,20 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     other = docs.where(fold(F.col("doc_id"), FOLDS) != 0).select("doc_id").join(usable.where("toxic = 1"), "doc_id", "left_anti").select("doc_id", F.lit(False).alias("positive")).orderBy(place, "doc_id").limit(unlabelled)
     chosen = toxic.unionByName(other)  # at most positives + unlabelled ids
     found: dict[bool, list] = {True: [], False: []}
-    for row in _features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).collect():
+    # Of rows with equal ids the smallest text is taken, so the bound on ids is one on rows.
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    for row in _features(texts).collect():
         found[row.positive].append((np.frombuffer(row.feature, np.int32), np.frombuffer(row.value, np.float32)))
     order = lambda rows: sorted(rows, key=lambda r: (len(r[0]), r[0].tobytes(), r[1].tobytes()))  # noqa: E731  the same model whatever the order of tasks
     return train(order(found[True]), order(found[False]), prior)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """Add score (0 to 1) to the rows of ``docs``; the model is a vector of fixed size.
+def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
+    """Add column ``name`` (0 to 1) to the rows of ``docs``; the model is a vector of fixed size.
 
-    Null and empty texts get the score of a text without features. Columns
-    named score are replaced; other columns stay as they are.
+    Null and empty texts get the score of a text without features; very long
+    ones are scored whole; equal rows get equal scores. A column of that name is
+    replaced; other columns stay as they are. An empty table stays empty.
     """
     weights, intercept = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)
@@ -144,15 +147,19 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             for part in batches_of(batch, "text"):
                 feature, value, first = hashed_words(part.column("text"))
                 f = _dot(w, feature, value, first) + intercept
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(f, -30, 30))), pa.float64())], names=[*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(f, -30, 30))), pa.float64())], names=[*part.schema.names, name])
 
-    kept = docs.drop("score")
-    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
+    kept = docs.drop(name)
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
     return kept.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document; a null id is never held out."""
+    """doc_id, held_out, score, predicted for every document; a null id is never held out.
+
+    Null, empty, long and repeated texts are as in ``score``; without labels
+    every score is the prior. Extra columns, whatever their names, are ignored.
+    """
     model = fit(docs, labels)
     scored = score(docs.select("doc_id", "text"), model).drop("text")
     held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == 0, F.lit(False))

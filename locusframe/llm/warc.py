@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import fresh_path
+from .common import fresh_path, join_counted, stored
 
 CRLF = b"\r\n"
+#: Longest block of a record in an archive, payload bytes of a chunk of transfer framing, and bytes of an archive before compression.
+SEGMENT, CHUNK, ARCHIVE = 4 << 10, 1 << 10, 128 << 20
 RECORD = "record_id string, record_type string, target_uri string, page_id bigint, origin_id string, segment int, total_length bigint, block binary"
 PAYLOAD = "record_id string, record_type string, target_uri string, page_id bigint, payload binary, intact boolean"
 
@@ -98,12 +99,13 @@ def page_records(page_id: int | None, url: str | None, html: str | None, mark: s
         yield _record(more, part)
 
 
-def write_warc(pages: DataFrame, path: str, segment_bytes: int = 64 << 10, chunk_bytes: int = 8 << 10, records_per_file: int = 20_000) -> None:
+def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT, chunk_bytes: int = CHUNK) -> None:
     """Write one response record per row of ``pages(page_id, url, html)``.
 
     Null html is an empty payload; a null url becomes ``urn:page:<id>``. Rows
     with equal or null ids stay apart by a mark of split and position. Extra
-    columns are ignored. Spark's file committer writes the archives, so a lost
+    columns are ignored. Long pages are segmented, so a bound on the records
+    of an archive bounds its bytes too. Spark's file committer writes the archives, so a lost
     executor leaves no half-written record behind.
     """
 
@@ -124,7 +126,7 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = 64 << 10, chunk
 
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(records, "value binary")
     # A cast of binary to string keeps the bytes as they are.
-    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, ARCHIVE // (segment_bytes + 1024))).text(path)
 
 
 def parse_archive(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -188,7 +190,8 @@ def reassemble(records: DataFrame) -> DataFrame:
             F.max("total_length").alias("total_length"),
             F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("parts"),
         )
-        .withColumn("block", F.aggregate("parts.block", F.lit(b""), lambda a, x: F.concat(a, x)))
+        # A cast between binary and string keeps the bytes as they are; joined strings grow in linear time.
+        .withColumn("block", F.array_join(F.transform("parts.block", lambda x: x.cast("string")), "").cast("binary"))
         .withColumn("intact", F.coalesce(F.col("head").isNotNull() & (F.octet_length("block") == F.col("total_length")) & (F.element_at("parts", -1)["segment"] == F.size("parts")), F.lit(False)))
         .select("record_id", "head.record_type", "head.target_uri", "head.page_id", F.when(F.col("intact"), F.col("block")).alias("block"), "intact")
     )
@@ -217,23 +220,29 @@ def revisits(found: DataFrame, least_bytes: int = 0) -> DataFrame:
     Of equal payloads of at least ``least_bytes`` the record with the largest
     page_id (then record_id) is the response, all others revisit it; smaller
     payloads are all responses, and so are records without a whole payload.
-    Digests are pre-aggregated before they meet, and the join that follows is
-    one that adaptive execution can split where a payload is very common.
+    ``found`` should be stored. Digests are pre-aggregated before they meet,
+    and a payload that is very common is joined where its records are.
     """
-    large = F.col("payload_bytes") >= least_bytes
-    first = found.where(large).groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(2**63))).alias("order"), "record_id", "page_id")).alias("first"))
-    joined = found.join(first, ["payload_digest", "payload_bytes"], "left")
-    again = F.coalesce(F.col("first")["record_id"] != F.col("record_id"), F.lit(False))
-    return joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first")["page_id"])).drop("first")
+    keys = ["payload_digest", "payload_bytes"]
+    large = F.coalesce(F.col("payload_bytes") >= least_bytes, F.lit(False))
+    order = F.struct(F.coalesce("page_id", F.lit(-(2**63))).alias("order"), "record_id", "page_id")
+    first = stored(found.where(large).groupBy(*keys).agg(F.max(order).alias("first"), F.count("*").alias("n")), "first-captures")
+    again = F.col("first")["record_id"] != F.col("record_id")
+    told = join_counted(found.where(large), first, keys).withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first")["page_id"])).drop("first", "n")
+    return told.unionByName(found.where(~large).withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast("bigint")))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write pages to archives in the shared folder, read them back and resolve revisits."""
+    """Write pages to archives in the shared folder, read them back and resolve revisits.
+
+    page_id, payload_bytes, payload_digest, record_type and refers_to of every
+    row. Null html is an empty payload, and all empty payloads are equal. Rows
+    with equal ids and payloads are one response and its revisits; null ids
+    come last. Pages of any length are segmented and joined again; extra
+    columns, whatever their names, are ignored; an empty table gives an empty
+    one. Archives are read and digested once, and the digests stored.
+    """
     path = fresh_path(spark, "warc")
     write_warc(pages, path)
-    found = payloads(read_records(spark, path)).drop("payload")
+    found = stored(payloads(read_records(spark, path)).select("record_id", "page_id", "payload_bytes", "payload_digest"), "digests")
     return revisits(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
-def empty_records(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], T.StructType.fromDDL(RECORD))
