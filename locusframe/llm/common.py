@@ -235,6 +235,18 @@ def shingles(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, n
     return mix(out), first
 
 
+def distinct_pairs(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of one each of the distinct pairs of row and hash, an order that puts equal pairs together, and where in it they begin.
+
+    Pairs are sorted by 64 bits of both, which takes a fraction of the time of a sort by two keys.
+    """
+    key = mix(hashes ^ mix(row.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(key)
+    key = key[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return order[start], order, start
+
+
 def batches_of(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     """Parts of a record batch with about ``most`` bytes of text each."""
     _, offsets = text_bytes(batch.column(column))

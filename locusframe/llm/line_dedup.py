@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _power_tables, batches_of, discard, join_counted, mix, steady, stored, text_bytes, unused, with_row
+from .common import _power_tables, batches_of, discard, distinct_pairs, join_counted, mix, steady, stored, text_bytes, unused, with_row
 from .linking import link_buckets
 from .near_dedup import band_keys
 
@@ -30,6 +30,11 @@ SEEN = 500_000
 THROWS = 2
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 _EMPTY = np.uint32(0xFFFFFFFF)
+#: What a value becomes that is borrowed from so many bins before: once for each bin, times a constant and plus one.
+_STEP, _SHIFT = np.ones(256, np.uint32), np.zeros(256, np.uint32)
+for _k in range(1, 256):
+    _STEP[_k] = int(_STEP[_k - 1]) * 0x85EBCA6B & 0xFFFFFFFF
+    _SHIFT[_k] = (int(_SHIFT[_k - 1]) * 0x85EBCA6B + 1) & 0xFFFFFFFF
 _WORD = "[^\\x20\\x09-\\x0D]"
 
 
@@ -65,14 +70,14 @@ def signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, bins: i
         where = ((thrown >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
         np.minimum.at(signature, base + where.astype(np.int64), thrown.astype(np.uint32))
     signature = signature.reshape(-1, bins)
-    hole = signature == _EMPTY
-    for _ in range(bins):
-        if not hole.any():
-            break
-        borrowed = np.roll(signature, 1, axis=1) * np.uint32(0x85EBCA6B) + np.uint32(1)
-        filled = hole & ~np.roll(hole, 1, axis=1)
-        signature[filled] = borrowed[filled]
-        hole &= ~filled
+    filled = signature != _EMPTY
+    # The last filled bin at or before each, around the circle; a line without any has none.
+    place = np.where(np.hstack([filled, filled]), np.arange(2 * bins, dtype=np.int32), -1)
+    last = np.maximum.accumulate(place, axis=1)[:, bins:]
+    away = np.arange(bins, 2 * bins) - last
+    row, hole = np.nonzero(~filled & (last >= 0))
+    d = away[row, hole]
+    signature[row, hole] = signature[row, last[row, hole] % bins] * _STEP[d] + _SHIFT[d]
     return signature
 
 
@@ -82,7 +87,7 @@ def line_bands(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in batches_of(batch, "line", 1 << 20):
+            for part in batches_of(batch, "line", 1 << 17):
                 nodes, one = np.unique(np.asarray(part.column("node")), return_index=True)
                 new = np.array([x not in seen for x in nodes.tolist()], bool)
                 nodes, one = nodes[new], one[new]
@@ -110,11 +115,8 @@ def tokens(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     points, edges = code_points(*text_bytes(lines))
     hashes, runs = shingle_hashes(points, edges[:-1], edges[1:])
     row = np.repeat(np.arange(len(runs)), runs)
-    order = np.lexsort((hashes, row))
-    h, r = hashes[order], row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    return h[new], r[new]
+    keep = np.sort(distinct_pairs(row, hashes)[0])
+    return hashes[keep], row[keep]
 
 
 def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -177,10 +179,10 @@ def dedup_lines(docs: DataFrame, every: bool = False, removed: str = "n_removed"
     own = with_row(own, row)
     text = F.col("text").cast("string")
     found = kept_lines(own.select(F.col(row).alias("row"), F.coalesce(text, F.lit("")).alias("text")), every)
-    joined = own.join(found.select(F.col("row").alias(row), F.col("kept").alias(kept)).hint("merge"), row, "left")
-    used = F.transform(F.split(text, "\n"), lambda x, i: F.when(x.rlike(_WORD) if every else F.char_length(x) >= LEAST_CHARS, i))
-    gone = F.array_except(F.array_compact(used), F.coalesce(kept, F.array().cast("array<int>")))
-    placed, gone_name = joined.withColumn(kept, gone), F.col(kept)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1), gone_name), lambda i: F.get(F.split(text, "\n"), i))
-    n = F.when(text.isNull(), 0).otherwise(F.size(gone_name))
+    lines = unused(own, "lines")
+    joined = own.join(found.select(F.col("row").alias(row), F.col("kept").alias(kept)).hint("merge"), row, "left").withColumn(lines, F.split(text, "\n"))
+    used = F.transform(lines, lambda x, i: F.when(x.rlike(_WORD) if every else F.char_length(x) >= LEAST_CHARS, i))
+    placed = joined.withColumn(kept, F.array_except(F.array_compact(used), F.coalesce(kept, F.array().cast("array<int>"))))  # now those that go
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(kept)), lambda i: F.get(F.col(lines), i))
+    n = F.when(text.isNull(), 0).otherwise(F.size(kept))
     return placed.select(*(F.when(n > 0, F.array_join(left, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.drop(removed).columns), n.alias(removed))

@@ -10,12 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_counted, stored
+from .common import batches_of, discard, join_counted, mix, stored
 
 #: Nodes and bytes of text of one side of a cell, on average; bytes of text that are cut into tokens at a time.
 BLOCK = 256
 BLOCK_BYTES = 2 << 20
-BATCH_BYTES = 4 << 20
+BATCH_BYTES, HUB_BYTES = 4 << 20, 1 << 17
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -154,6 +154,44 @@ def compare_cells(cells: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarra
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def compare_with_hubs(cells: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], similarity: float) -> DataFrame:
+    """Links (a, b) of hub and node in the cells of ``cells(hub, j, part, node, text)``: the row of part 1 is the hub's, those of part 2 are its nodes'.
+
+    All cells of a batch are compared at once: a token of a node counts where
+    its hub, told by the number of the cell, has it too.
+    """
+
+    def links(rows: pa.Table) -> tuple[pa.RecordBatch, int]:
+        """The links of some rows, and the place of the last hub among them."""
+        token, row = tokens(rows.column("text").combine_chunks())
+        part, node = np.asarray(rows.column("part")), np.asarray(rows.column("node"))
+        cell, lead = np.cumsum(part == 1), np.flatnonzero(part == 1)
+        size = np.bincount(row, minlength=rows.num_rows)
+        key = mix(token ^ mix(cell.astype(np.uint64))[row])
+        of_hub = part[row] == 1
+        known = np.sort(key[of_hub])
+        asked, at = key[~of_hub], row[~of_hub]
+        hit = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked if len(known) else np.zeros(len(asked), bool)
+        shared = np.bincount(at[hit], minlength=rows.num_rows)
+        union = size + size[lead[cell - 1]] - shared
+        found = np.flatnonzero((part == 2) & (shared >= (similarity - 1e-12) * np.maximum(union, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(node[lead[cell[found] - 1]]), pa.array(node[found])], ["a", "b"]), int(lead[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub: pa.Table | None = None
+        for batch in batches:
+            for part in batches_of(batch, "text", HUB_BYTES):
+                now = pa.Table.from_batches([part])
+                now = now if hub is None else pa.concat_tables([hub, now])
+                out, last = links(now)
+                hub = now.slice(last, 1)
+                if out.num_rows:
+                    yield out
+
+    dealt = cells.select("hub", "j", "part", "node", "text").repartition("hub", "j").sortWithinPartitions("hub", "j", "part")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def _blocks(some: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.greatest(F.sum(F.when(some, 1)) / BLOCK, F.sum(F.when(some, F.col("bytes"))) / BLOCK_BYTES))).cast("int")
 
@@ -195,8 +233,7 @@ def link_buckets(sketches: DataFrame, prepare: Callable[[DataFrame], DataFrame],
     own = F.xxhash64(F.lit(29), "node")
     as_left = sizes.select("hub", F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), F.col("hub").alias("node"), F.lit(1).alias("part"))
     as_right = join_counted(stars, sizes, "hub").select("hub", F.pmod(own, "nj").cast("int").alias("j"), "node", F.lit(2).alias("part"))
-    cells = as_left.unionByName(as_right).withColumn("i", F.lit(0)).withColumn("comp", F.col("node"))
-    edges = stored(compare_cells(cells.join(texts.hint("merge"), "node"), tokens, similarity), "links")
+    edges = stored(compare_with_hubs(as_left.unionByName(as_right).join(texts.hint("merge"), "node"), tokens, similarity), "links")
     roots = connected_components(edges)
 
     # Outsiders of a hub's component against its whole group.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, discard, join_counted, mix, shingles, steady, stored, text_bytes, unused, with_row, word_hashes
+from .common import batches_of, discard, distinct_pairs, join_counted, mix, shingles, steady, stored, text_bytes, unused, with_row, word_hashes
 from .linking import link_buckets
 
 SHINGLE = 5
@@ -130,11 +130,10 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words, _, _, rows = word_hashes(*text_bytes(texts))
     hashes, first = shingles(words, rows, SHINGLE)
     row = np.repeat(np.arange(len(rows) - 1), np.diff(first))
-    order = np.lexsort((hashes, row))
-    h, r = hashes[order], row[order]
-    start = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])) if len(h) else np.zeros(0, np.int64)
-    nth = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h))))
-    return mix(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), r
+    _, order, start = distinct_pairs(row, hashes)
+    nth = np.empty(len(hashes), np.uint64)
+    nth[order] = np.arange(len(hashes)) - np.repeat(start, np.diff(np.append(start, len(hashes))))
+    return mix(hashes + nth * np.uint64(0x9E3779B97F4A7C15)), row
 
 
 def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:

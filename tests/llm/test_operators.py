@@ -226,7 +226,7 @@ def test_components_of_a_chain_and_a_star(spark):
 
 
 def test_class_probabilities_are_normalised():
-    model = log_bilinear.train([np.array([0, 1, 2, 3, 0, 1, 2]), np.array([1, 4, 0])], (b"a", b"b", b"c"))
+    model = log_bilinear.train([np.array([0, 1, 2, 3, 0, 1, 2]), np.array([1, 4, 0])], 3)
     table = 10 ** model.log10_probabilities(np.array([[0, 1], [3, 3], [4, 2]]))
     assert np.allclose(table.sum(axis=1), 1, atol=1e-5)
     ids, first = np.array([0, 1, 3, 2, 3]), np.array([0, 3])
@@ -239,14 +239,19 @@ def test_every_text_and_rare_word_trains(spark):
     rows = [(i, " ".join(f"{random.Random(i).choice(WORDS)}{j % 9}" for j in range(300)) + " zzqah vvubo" * 1000) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     counts = np.ones(1 + log_bilinear.RARE)
-    start, unigram = log_bilinear.begin(counts, (), np.random.default_rng(8))
-    one = log_bilinear.one_pass(docs, start, unigram, 0)
-    seen = {log_bilinear.rare_class(w) for _, t in rows for w in log_bilinear.tokens(t)}
+    start, unigram = log_bilinear.begin(counts, 0, np.random.default_rng(8))
+    one = log_bilinear.one_pass(docs, start, log_bilinear.Dictionary([], 0), unigram, 0)
+
+    def ending(words):
+        data, offsets = common.text_bytes(pa.array(words))
+        return log_bilinear.ending_classes(data, offsets[:-1], offsets[1:]).tolist()
+
+    seen = set(ending(sorted({w for _, t in rows for w in t.split()})))
     moved = np.abs(one.vectors - start.vectors).max(axis=1) > 0
     assert all(moved[1 + k] for k in seen) and moved[0]
-    a, b = (1 + log_bilinear.rare_class(w) for w in (b"zzqah", b"vvubo"))
+    a, b = (1 + k for k in ending(["zzqah", "vvubo"]))
     context = np.array([[b, a], [a, b]])
-    table = log_bilinear.LogBilinear((), *one.parameters()).log10_probabilities(context)
+    table = log_bilinear.LogBilinear(0, *one.parameters()).log10_probabilities(context)
     assert table[0, b] > table[1, b]
 
 
