@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 START = "timestamp_ntz'2024-01-01 00:00:00'"
 #: Fixed header names of localization tables and what they are called here.
@@ -17,11 +16,24 @@ ALIASES = {
 }
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session may go without one."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = made.get() if made.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="locusframe-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the folder that all executors share and read again, which cuts lineage."""
     spark = df.sparkSession
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    path = f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,6 +57,14 @@ def movie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").selectExpr("user_id as grp", f"cast(floor(timestampdiff(SECOND, {START}, ts) / 60) as bigint) as frame", "value as x", "event_id")
 
 
+def clustered_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as localizations of clusters: id, label (-1 is noise), grp, x, y, z, frame, photons, lp."""
+    return read(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber as id", "cast(l_partkey % 41 - 1 as int) as label", "l_returnflag as grp", "l_quantity as x", "l_discount * 1000 as y", "l_tax * 1000 as z",
+        "l_orderkey as frame", "l_extendedprice as photons", "l_tax * 100 as lp", "cast(l_linenumber - 1 as bigint) as step",
+    )
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as measurements nested in animals and groups: axon, animal, grp, value."""
     orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
@@ -96,7 +116,3 @@ def append_rows(df: DataFrame, path: str) -> None:
     if have is not None and plain(have) != plain(df.schema):
         raise ValueError("the table has other columns")
     df.write.mode("append").parquet(path)
-
-
-def schema_of(df: DataFrame) -> T.StructType:
-    return df.schema
