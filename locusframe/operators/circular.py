@@ -27,11 +27,11 @@ def arc_gaps(positions: DataFrame, length: float) -> DataFrame:
 
 
 def gap_regularity(gaps: DataFrame) -> DataFrame:
-    """Population coefficient of variation of the gaps of each group and their circular lag-one correlation."""
+    """Population coefficient of variation of the gaps of each group, from two gaps on, and their circular lag-one correlation, from three on."""
     centred = gaps.selectExpr("*", "gap - avg(gap) over (partition by grp) as dev")
     pairs = centred.selectExpr("*", "coalesce(lead(dev) over (partition by grp order by s), first_value(dev) over (partition by grp order by s)) as next_dev")
     square = F.sum(F.col("dev") * F.col("dev"))
-    return pairs.groupBy("grp").agg(F.count("*").alias("n"), (F.stddev_pop("gap") / F.avg("gap")).alias("cv"), F.when(square > 0, F.sum(F.col("dev") * F.col("next_dev")) / square).alias("rho1"))
+    return pairs.groupBy("grp").agg(F.count("*").alias("n"), F.when(F.count("*") > 1, F.stddev_pop("gap") / F.avg("gap")).alias("cv"), F.when((square > 0) & (F.count("*") > 2), F.sum(F.col("dev") * F.col("next_dev")) / square).alias("rho1"))
 
 
 def structure_factor(positions: DataFrame, length: float, modes: int) -> DataFrame:

@@ -21,10 +21,15 @@ def four_way(rows: DataFrame, a: Column, b: Column) -> DataFrame:
 
 
 def record_differences(left: DataFrame, right: DataFrame, fields: list[str]) -> DataFrame:
-    """(key, field, a, b) of every field in which two records of a key differ; a null equals a null."""
-    pairs = left.select("key", *(F.col(f).cast("string").alias(f"a_{f}") for f in fields)).join(right.select("key", *(F.col(f).cast("string").alias(f"b_{f}") for f in fields)), "key")
-    rows = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"a_{f}").alias("a"), F.col(f"b_{f}").alias("b")) for f in fields)))
-    return pairs.select("key", rows.alias("r")).select("key", "r.*").where("not (a <=> b)")
+    """(key, field, a, b) of every field in which two records of a key differ; a null equals a null.
+
+    A key that one side alone has differs in field ``key``.
+    """
+    sides = [df.select("key", *(F.col(f).cast("string").alias(f"{s}_{f}") for f in fields), F.col("key").cast("string").alias(f"{s}_key")) for s, df in (("a", left), ("b", right))]
+    pairs = sides[0].join(sides[1], "key", "full")
+    alone = F.col("a_key").isNull() | F.col("b_key").isNull()
+    rows = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"a_{f}").alias("a"), F.col(f"b_{f}").alias("b")) for f in ("key", *fields))))
+    return pairs.select("key", alone.alias("alone"), rows.alias("r")).select("key", "alone", "r.*").where("not (a <=> b) and (not alone or field = 'key')").drop("alone")
 
 
 def central_position(stacks: DataFrame) -> DataFrame:

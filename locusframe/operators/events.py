@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def link_sessions(locs: DataFrame, dark_frames: int) -> DataFrame:
-    """Add ``session`` (from 1) to locs(grp, frame, event_id): a gap of more than ``dark_frames`` starts a new one."""
+    """Add ``session`` (from 1) to locs(grp, frame, event_id): a gap in time of more than ``dark_frames`` starts a new one. Linking in space is in ``paint``."""
     gap = locs.selectExpr("*", "frame - lag(frame) over (partition by grp order by frame, event_id) as gap")
     return gap.selectExpr("*", f"sum(case when gap is null or gap > {dark_frames + 1} then 1 else 0 end) over (partition by grp order by frame, event_id rows unbounded preceding) as session").drop("gap")
 
 
 def collapse(sessions: DataFrame, last_frame: int) -> DataFrame:
-    """One row for each event: first and last frame, length, localizations, mean and sum of x, and whether it is uncensored."""
+    """One row for each session: first and last frame, length, localizations, plain mean and sum of x, and whether it is uncensored; means by precision are in ``paint``."""
     one = sessions.groupBy("grp", "session").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("n_locs"), F.avg("x").alias("x_mean"), F.sum("x").alias("x_sum"))
     return one.withColumn("length", F.col("last") - F.col("first") + 1).withColumn("complete", (F.col("first") > 0) & (F.col("last") < last_frame))
 

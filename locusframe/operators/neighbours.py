@@ -32,24 +32,32 @@ def neighbour_counts(points: DataFrame, radius: float) -> DataFrame:
     return radius_pairs(points, points, radius).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
 
 
-def nearest(points: DataFrame, k: int, radius: float, rounds: int = 30) -> DataFrame:
+def nearest(points: DataFrame, k: int, radius: float) -> DataFrame:
     """(id, rank, other, d) of the k nearest other points; ties go to the smaller id.
 
     Starts with a small radius; only points that do not find k neighbours in it
-    are asked again with twice the radius, so dense regions stay cheap.
+    are asked again with four times the radius, up to one that reaches every
+    point, so dense regions stay cheap and far points are not lost. Points
+    without a place, null or NaN, have no neighbours and no rows. The first k
+    of each point are picked within each task before they are shuffled.
     """
-    total = points.limit(k + 1).count() - 1
-    k_found = min(k, max(total, 0))
-    open_points, done = points, None
-    for _ in range(rounds):
-        pairs = radius_pairs(open_points, points, radius).where("a <> b")
-        ranked = pairs.selectExpr("a as id", "row_number() over (partition by a order by d, b) as rank", "b as other", "d", "count(*) over (partition by a) as n").where(F.col("rank") <= k)
-        found = stored(ranked.where(F.col("n") >= k_found), "neighbours")
-        done = found if done is None else done.unionByName(found)
-        open_points = stored(open_points.join(found.select("id").distinct(), "id", "left_anti"), "open-points")
-        if k_found == 0 or not open_points.limit(1).count():
+    placed = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    n, *ends = placed.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    k_found = min(k, max(n - 1, 0))
+    reach = ((ends[1] - ends[0]) ** 2 + (ends[3] - ends[2]) ** 2) ** 0.5 * (1 + 1e-9) if n else 0.0
+    open_points, done = placed, None
+    while True:
+        pairs = radius_pairs(open_points, placed, radius).where("a <> b")
+        ranked = pairs.selectExpr("a as id", "row_number() over (partition by a order by d, b) as rank", "b as other", "d").where(F.col("rank") <= k)
+        found = stored(ranked.selectExpr("*", "count(*) over (partition by id) as n"), "neighbours")
+        whole = found.where(F.col("n") >= k_found)
+        done = whole if done is None else done.unionByName(whole)
+        if k_found == 0 or radius > reach:
             break
-        radius *= 2
+        open_points = stored(open_points.join(whole.select("id").distinct(), "id", "left_anti"), "open-points")
+        if not open_points.limit(1).count():
+            break
+        radius = min(radius * 4, max(reach * (1 + 1e-6), radius * 1.001))
     return done.select("id", "rank", "other", "d")
 
 

@@ -56,6 +56,6 @@ def axial_cut(z: Column, low: float | None, high: float | None) -> Column:
 
 def plausible(df: DataFrame, column: str, share: float = 0.1) -> DataFrame:
     """Rows whose value is finite, positive and at least a share of the table's exact median."""
-    good = df.where(F.col(column).isNotNull() & ~F.isnan(column) & (F.col(column) > 0))
+    good = df.where(F.col(column).isNotNull() & ~F.isnan(column) & (F.col(column) > 0) & (F.col(column) < float("inf")))
     median = good.agg(F.percentile(column, F.lit(0.5)).alias("__median"))
     return good.join(F.broadcast(median)).where(F.col(column) >= share * F.col("__median")).drop("__median")

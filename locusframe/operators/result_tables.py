@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``old`` whose key is not in ``new``, and ``new``; unequal columns are refused."""
+    """Rows of ``old`` whose key is not in ``new``, and ``new``; a null key equals a null. Unequal columns are refused."""
     if set(old.columns) != set(new.columns):
         raise ValueError("the tables have other columns")
-    return old.join(new.select(keys).distinct(), keys, "left_anti").unionByName(new)
+    known = new.select(*(F.col(k).alias(f"new_{k}") for k in keys)).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"new_{k}"))
+    return old.join(known, same, "left_anti").unionByName(new)
 
 
 def duplicates(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

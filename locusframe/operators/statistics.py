@@ -5,20 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
+
+def in_ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``part``, stored: ranges of the order, so that running sums need one window for each part and the totals of the parts before."""
+    dealt = rows.repartitionByRange(*order)
+    return stored(dealt.withColumn("part", F.spark_partition_id()), "ranges")
+
+
+def running(dealt: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
+    """Columns added to rows ``in_ranges``: running sums of expressions, and ``<name>_all``, their totals.
+
+    Only one row of totals for each part goes through one task.
+    """
+    per_part = dealt.groupBy("part").agg(*(F.sum(F.expr(e)).alias(k) for k, e in sums.items()))
+    offsets = per_part.selectExpr("part", *(f"coalesce(sum({k}) over (order by part rows between unbounded preceding and 1 preceding), 0) as {k}_before" for k in sums), *(f"sum({k}) over () as {k}_all" for k in sums))
+    own = dealt.selectExpr("*", *(f"sum({e}) over (partition by part order by {order} rows unbounded preceding) as {k}_own" for k, e in sums.items()))
+    joined = own.join(F.broadcast(offsets), "part")
+    return joined.select(*(c for c in dealt.columns), *((F.col(f"{k}_own") + F.col(f"{k}_before")).alias(k) for k in sums), *(f"{k}_all" for k in sums))
+
 
 def ks_distance(values: DataFrame, a: str, b: str) -> DataFrame:
     """Largest distance of the right-continuous distribution functions of groups a and b of values(grp, value)."""
-    counts = values.where(F.col("grp").isin(a, b)).groupBy("value").agg(F.sum((F.col("grp") == a).cast("int")).alias("na"), F.sum((F.col("grp") == b).cast("int")).alias("nb"))
-    run = counts.selectExpr("sum(na) over (order by value) / sum(na) over () as fa", "sum(nb) over (order by value) / sum(nb) over () as fb")
-    return run.agg(F.max(F.abs(F.col("fa") - F.col("fb"))).alias("ks"))
+    counts = values.where(F.col("grp").isin(a, b)).groupBy("value").agg(F.sum((F.col("grp") == a).cast("int")).alias("of_a"), F.sum((F.col("grp") == b).cast("int")).alias("of_b"))
+    run = running(in_ranges(counts, "value"), "value", {"na": "of_a", "nb": "of_b"})
+    return run.agg(F.max(F.abs(F.col("na") / F.col("na_all") - F.col("nb") / F.col("nb_all"))).alias("ks"))
 
 
 def intraclass_correlation(values: DataFrame) -> DataFrame:
-    """One-way ICC of values(grp, animal, value): share of variance between animals of each group, 0 at least."""
-    per = values.groupBy("grp", "animal").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    top = per.groupBy("grp").agg(
-        F.count("*").alias("k"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("q") - F.col("n") * F.col("m") * F.col("m")).alias("within"),
-        (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum(F.col("n") * F.col("m")) * F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("between"),
+    """One-way ICC of values(grp, animal, value): share of variance between animals of each group, 0 at least.
+
+    Squares are summed about the means, so large values lose no digits.
+    """
+    per = values.groupBy("grp", "animal").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("v"))
+    grand = per.groupBy("grp").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))
+    off = F.col("m") - F.col("grand")
+    top = per.join(F.broadcast(grand), "grp").groupBy("grp").agg(
+        F.count("*").alias("k"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum((F.col("n") - 1) * F.col("v")).alias("within"), F.sum(F.col("n") * off * off).alias("between"),
     )
     n0 = (F.col("total") - F.col("n2") / F.col("total")) / (F.col("k") - 1)
     ms_b, ms_w = F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("total") - F.col("k"))
@@ -47,9 +71,15 @@ def spearman(pairs: DataFrame) -> DataFrame:
 
 
 def holm(tests: DataFrame) -> DataFrame:
-    """Step-down adjusted p of tests(name, p); nulls are skipped and not counted."""
-    step = tests.where("p is not null").selectExpr("name", "p", "row_number() over (order by p, name) as k", "count(*) over () as m")
-    return step.selectExpr("name", "p", "least(1.0D, max((m - k + 1) * p) over (order by k rows unbounded preceding)) as p_holm")
+    """Step-down adjusted p of tests(name, p); nulls are skipped and not counted.
+
+    Ranks, and then the largest of the parts before, run over ranges of p.
+    """
+    ranked = running(in_ranges(tests.where("p is not null").select("name", "p"), "p", "name"), "p, name", {"k": "1"})
+    step = ranked.withColumn("q", (F.col("k_all") - F.col("k") + 1) * F.col("p"))
+    before = step.groupBy("part").agg(F.max("q").alias("q")).selectExpr("part", "max(q) over (order by part rows between unbounded preceding and 1 preceding) as before")
+    own = step.selectExpr("part", "name", "p", "max(q) over (partition by part order by p, name rows unbounded preceding) as own")
+    return own.join(F.broadcast(before), "part").select("name", "p", F.least(F.lit(1.0), F.greatest("own", "before")).alias("p_holm"))
 
 
 def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
@@ -78,8 +108,8 @@ def rand_index(labels: DataFrame) -> DataFrame:
     return joined.select(F.when(most != expected, (F.col("cell") - expected) / (most - expected)).otherwise(F.lit(1.0)).alias("ari"))
 
 
-def two_level(values: DataFrame) -> DataFrame:
-    """Mean of animal means of each group of values(axon, animal, grp, value); of repeated axons the first counts, null keys don't."""
-    once = values.where("grp is not null and animal is not null").groupBy("axon", "animal", "grp").agg(F.min("value").alias("value"))
+def two_level(values: DataFrame, order: str = "value") -> DataFrame:
+    """Mean of animal means of each group of values(axon, animal, grp, value), with their sd and median; null keys don't count, and of repeated axons the first by ``order`` does."""
+    once = values.where("grp is not null and animal is not null").groupBy("axon").agg(F.min(F.struct(F.col(order).alias("place"), "animal", "grp", "value")).alias("one")).select("axon", "one.animal", "one.grp", "one.value")
     animals = once.groupBy("grp", "animal").agg(F.avg("value").alias("m"), F.count("*").alias("axons"))
-    return animals.groupBy("grp").agg(F.count("*").alias("animals"), F.sum("axons").alias("axons"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd"))
+    return animals.groupBy("grp").agg(F.count("*").alias("animals"), F.sum("axons").alias("axons"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd"), F.percentile("m", F.lit(0.5)).alias("median"))

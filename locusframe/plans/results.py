@@ -101,7 +101,7 @@ ORACLES = {
     "holm": "WITH s AS (SELECT p_partkey AS name, p_size / 5000.0::DOUBLE AS p, row_number() OVER (ORDER BY p_size / 5000.0::DOUBLE, p_partkey) AS k, count(*) OVER () AS m FROM part) SELECT name, round(p, 6) AS p, round(least(1.0, max((m - k + 1) * p) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM s",
     "wilson_interval": f"WITH s AS (SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS k FROM events GROUP BY 1), p AS (SELECT *, k::DOUBLE / n AS p FROM s) SELECT event_type, n, k, round((p + {_Z * _Z} / (2 * n) - {_Z} * sqrt(p * (1 - p) / n + {_Z * _Z} / (4.0 * n * n))) / (1 + {_Z * _Z} / n), 6) AS low, round((p + {_Z * _Z} / (2 * n) + {_Z} * sqrt(p * (1 - p) / n + {_Z * _Z} / (4.0 * n * n))) / (1 + {_Z * _Z} / n), 6) AS high FROM p",
     "freedman_diaconis": f"WITH {SAMPLES} SELECT grp, round(2 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / pow(count(*), 1 / 3), 6) AS width FROM samples GROUP BY grp",
-    "compare_two_level": f"WITH {SAMPLES}, a AS (SELECT grp, animal, avg(value) AS m, count(*) AS axons FROM samples GROUP BY ALL) SELECT grp, count(*) AS animals, sum(axons)::BIGINT AS axons, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd FROM a GROUP BY grp",
+    "compare_two_level": f"WITH {SAMPLES}, a AS (SELECT grp, animal, avg(value) AS m, count(*) AS axons FROM samples GROUP BY ALL) SELECT grp, count(*) AS animals, sum(axons)::BIGINT AS axons, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd, round(quantile_cont(m, 0.5), 6) AS median FROM a GROUP BY grp",
     "agreement_ari": "WITH l AS (SELECT p_size // 10 AS a, p_brand AS b FROM part), t AS (SELECT a, b, count(*) AS n FROM l GROUP BY ALL), c AS (SELECT sum(n * (n - 1) / 2) AS cell, sum(n) AS total FROM t), r AS (SELECT sum(n * (n - 1) / 2) AS rows FROM (SELECT sum(n) AS n FROM t GROUP BY a)), k AS (SELECT sum(n * (n - 1) / 2) AS cols FROM (SELECT sum(n) AS n FROM t GROUP BY b)) SELECT round((cell - rows * cols / (total * (total - 1) / 2)) / ((rows + cols) / 2 - rows * cols / (total * (total - 1) / 2)), 6) AS ari FROM c, r, k",
     "key_upsert": "SELECT o_orderkey, o_orderstatus, round(o_totalprice + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END, 4) AS o_totalprice FROM orders",
     "duplicate_rows": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS copy FROM orders QUALIFY copy > 1",

@@ -117,7 +117,7 @@ ORACLES = {
     "peak_bins": f"WITH {_PROFILE}, {_PEAK} SELECT grp, peak FROM peaks",
     "aligned_profile": f"WITH {_PROFILE}, {_PEAK} SELECT (p.bin - k.peak + {BINS}) % {BINS} AS bin, sum(p.n)::BIGINT AS n FROM profile p JOIN peaks k USING (grp) GROUP BY 1",
     "arc_gaps": f"WITH {_GAPS} SELECT grp, s, round(gap, 6) AS gap FROM gaps",
-    "gap_regularity": f"WITH {_GAPS}, dev AS (SELECT *, gap - avg(gap) OVER (PARTITION BY grp) AS dev FROM gaps), nxt AS (SELECT *, coalesce(lead(dev) OVER (PARTITION BY grp ORDER BY s), first_value(dev) OVER (PARTITION BY grp ORDER BY s)) AS next_dev FROM dev) SELECT grp, count(*) AS n, round(stddev_pop(gap) / avg(gap), 6) AS cv, round(sum(dev * next_dev) / sum(dev * dev), 6) AS rho1 FROM nxt GROUP BY grp",
+    "gap_regularity": f"WITH {_GAPS}, dev AS (SELECT *, gap - avg(gap) OVER (PARTITION BY grp) AS dev FROM gaps), nxt AS (SELECT *, coalesce(lead(dev) OVER (PARTITION BY grp ORDER BY s), first_value(dev) OVER (PARTITION BY grp ORDER BY s)) AS next_dev FROM dev) SELECT grp, count(*) AS n, CASE WHEN count(*) > 1 THEN round(stddev_pop(gap) / avg(gap), 6) END AS cv, CASE WHEN count(*) > 2 THEN round(sum(dev * next_dev) / nullif(sum(dev * dev), 0), 6) END AS rho1 FROM nxt GROUP BY grp",
     "structure_factor": f"WITH {_POSITIONS} SELECT grp, mode::INT AS mode, round((pow(sum(cos(mode * 2 * pi() / {LENGTH} * s)), 2) + pow(sum(sin(mode * 2 * pi() / {LENGTH} * s)), 2)) / count(*), 5) AS power FROM positions, range(1, 9) AS m(mode) GROUP BY grp, mode",
     "rotation_correlation": f"WITH {_PROFILE}, z AS (SELECT grp, bin, n - avg(n) OVER (PARTITION BY grp) AS v FROM profile) SELECT a.grp, ((b.bin - a.bin + {BINS}) % {BINS})::INT AS shift, round(sum(a.v * b.v), 4) AS corr FROM z a JOIN z b USING (grp) GROUP BY 1, 2",
 }

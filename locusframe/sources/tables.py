@@ -72,46 +72,62 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_localizations(spark: SparkSession, path: str, pixel_size_nm: float | None = None, positional: bool = False) -> DataFrame:
-    """A localization table (CSV, Parquet) in nm on every axis, frames from 0.
-
-    CSV headers are found without regard to case; with ``positional`` the first
-    three columns are x, y, z in nm. Parquet columns x, y are camera pixels and
-    need a pixel size, which is never guessed. A CSV whose frames start at 1 is
-    shifted, unless its bkgstd is 0 throughout.
+    """A localization table (CSV, Parquet) in nm on every axis, frames from 0; columns without a known name are kept.
+
+    CSV headers are found without regard to case, and of several that mean the
+    same the first counts; with ``positional`` the first three columns are x, y,
+    z in nm. A CSV without x, y and z is refused. Parquet columns x, y, lpx and
+    lpy are camera pixels and need a pixel size, which is never guessed; z and
+    lpz are in nm. A CSV whose frames start at 1 is shifted, unless its bkgstd
+    is 0 throughout.
     """
     if path.rstrip("/").endswith(".csv"):
         raw = spark.read.option("header", True).csv(path)
-        names = {c: ("x_nm", "y_nm", "z_nm")[i] for i, c in enumerate(raw.columns[:3])} if positional else {c: ALIASES[c.strip().lower()] for c in raw.columns if c.strip().lower() in ALIASES}
-        df = raw.select(*(F.col(f"`{c}`").cast("double").alias(n) for c, n in names.items()))
-        if not {"x_nm", "y_nm"} <= set(df.columns):
-            raise ValueError("no x and y columns in nm")
+        names = {c: ("x_nm", "y_nm", "z_nm")[i] for i, c in enumerate(raw.columns[:3])} if positional else {}
+        for c in raw.columns:
+            name = ALIASES.get(c.strip().lower(), c if c not in names else None)
+            if c not in names and name not in names.values():
+                names[c] = name
+        known = {*ALIASES.values(), "x_nm", "y_nm", "z_nm"}
+        df = raw.select(*((F.col(f"`{c}`").cast("double") if n in known else F.col(f"`{c}`")).alias(n) for c, n in names.items()))
+        if not {"x_nm", "y_nm", "z_nm"} <= set(df.columns):
+            raise ValueError("no x, y and z columns in nm")
         if "frame" in df.columns:
             noise = F.max("bkgstd") if "bkgstd" in df.columns else F.lit(1.0)
             first, most = df.agg(F.min("frame"), noise).first()
             shift = 1 if first is not None and first >= 1 and most != 0 else 0
             df = df.withColumn("frame", F.col("frame").cast("bigint") - shift)
-    else:
-        df = spark.read.parquet(path)
-        if not {"x_nm", "y_nm"} <= set(df.columns):
-            if pixel_size_nm is None:
-                raise ValueError("coordinates are in pixels and no pixel size is given")
-            for c in ("x", "y", "lpx", "lpy"):
-                if c in df.columns:
-                    df = df.withColumn(f"{c}_nm", F.col(c) * pixel_size_nm).drop(c)
-            if "z" in df.columns:
-                df = df.withColumnRenamed("z", "z_nm")
+        return df
+    df = spark.read.parquet(path)
+    if not {"x_nm", "y_nm"} <= set(df.columns):
+        if pixel_size_nm is None:
+            raise ValueError("coordinates are in pixels and no pixel size is given")
+        for c in ("x", "y", "lpx", "lpy"):
+            if c in df.columns:
+                df = df.withColumn(f"{c}_nm", F.col(c) * pixel_size_nm).drop(c)
+        for c in ("z", "lpz"):
+            if c in df.columns:
+                df = df.withColumnRenamed(c, f"{c}_nm")
     return df if "z_nm" in df.columns else df.withColumn("z_nm", F.lit(0.0))
 
 
+def lateral_precision(df: DataFrame) -> DataFrame:
+    """``df`` with ``lp_nm``, the mean of the precisions in x and y, or the one there is; failed fits (null, NaN or not above 0) are null."""
+    have = [F.col(c) for c in ("lpx_nm", "lpy_nm") if c in df.columns]
+    if not have:
+        return df.withColumn("lp_nm", F.lit(None).cast("double"))
+    ok = F.lit(True)
+    for c in have:
+        ok = ok & ~F.isnan(c) & (c > 0)
+    return df.withColumn("lp_nm", F.when(ok, sum(have[1:], have[0]) / len(have)))
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     """Append to a Parquet table; other columns or types are refused."""
     spark = df.sparkSession
-    try:
-        have = spark.read.parquet(path).schema
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        have = None
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    exists = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
+    have = spark.read.parquet(path).schema if exists else None
     plain = lambda s: [(f.name, f.dataType) for f in s]
     if have is not None and plain(have) != plain(df.schema):
         raise ValueError("the table has other columns")
