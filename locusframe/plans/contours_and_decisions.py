@@ -95,7 +95,7 @@ ORACLES = {
     "folded_profile": f"WITH {_PROFILE}, {_PEAK}, turned AS (SELECT p.grp, (p.bin - k.peak + {BINS}) % {BINS} AS bin, p.n FROM profile p JOIN peaks k USING (grp)) SELECT grp, least(bin, {BINS} - bin)::INT AS lag, round(avg(n), 6) AS mean FROM turned GROUP BY 1, 2",
     "final_flags": f"SELECT o_custkey AS key, o_orderpriority AS method, o_orderstatus AS flag FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_RANK}, o_orderdate DESC, o_orderkey DESC) = 1",
     "inside_split": f"WITH {SLAB} SELECT grp, sqrt((x - {CIRCLE[0]}) * (x - {CIRCLE[0]}) + (y - {CIRCLE[1]}) * (y - {CIRCLE[1]})) <= {CIRCLE[2]} AS in_a, x > {SQUARE[0]} AND x < {SQUARE[2]} AND y > {SQUARE[1]} AND y < {SQUARE[3]} AS in_b, count(*) AS n FROM locs GROUP BY ALL",
-    "record_differences": f"WITH one AS (SELECT DISTINCT l_orderkey, {', '.join(FIELDS)} FROM lineitem WHERE l_linenumber = 1), two AS (SELECT DISTINCT l_orderkey, {', '.join(FIELDS)} FROM lineitem WHERE l_linenumber = 2) {_FIELD_ROWS}",
+    "record_differences": f"WITH one AS (SELECT DISTINCT l_orderkey, {', '.join(FIELDS)} FROM lineitem WHERE l_linenumber = 1), two AS (SELECT DISTINCT l_orderkey, {', '.join(FIELDS)} FROM lineitem WHERE l_linenumber = 2) {_FIELD_ROWS} UNION ALL SELECT l_orderkey AS key, 'key' AS field, l_orderkey::VARCHAR AS a, NULL AS b FROM one WHERE l_orderkey NOT IN (SELECT l_orderkey FROM two) UNION ALL SELECT l_orderkey, 'key', NULL, l_orderkey::VARCHAR FROM two WHERE l_orderkey NOT IN (SELECT l_orderkey FROM one)",
     "central_ring": "WITH rings AS (SELECT o_custkey AS grp, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY ALL), placed AS (SELECT grp, n, row_number() OVER (PARTITION BY grp ORDER BY year) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS size FROM rings) SELECT grp, pos::INT AS central FROM placed WHERE pos IN ((size - 1) // 2, size // 2) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY n DESC, pos) = 1",
     "monte_carlo_p": f"WITH seen AS (SELECT p_brand AS grp, p_size::DOUBLE AS value, avg(p_size) OVER (PARTITION BY p_brand) AS observed FROM part), tails AS (SELECT grp, count(*) AS n, (1.0::DOUBLE + count(*) FILTER (value >= observed - {_TOLERANCE})) / (count(*) + 1) AS p, (1.0::DOUBLE + count(*) FILTER (value <= observed + {_TOLERANCE})) / (count(*) + 1) AS low FROM seen GROUP BY grp) SELECT grp, n, round(p, 6) AS p, round(least(1.0::DOUBLE, 2 * least(p, low)), 6) AS p_two_sided FROM tails",
 }

@@ -120,7 +120,16 @@ def _edge(ax, ay, bx, by):
 _D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 _PAIRS = f"pairs AS (SELECT a.id AS a, b.id AS b, {_D} AS d FROM pts a JOIN pts b ON a.x BETWEEN b.x - {RADIUS} AND b.x + {RADIUS} AND a.y BETWEEN b.y - {RADIUS} AND b.y + {RADIUS} AND {_D} <= {RADIUS})"
 _NEAR = f"near AS (SELECT a.id, b.id AS other, {_D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS rank FROM pts a JOIN pts b ON a.id <> b.id)"
+_NEAR_EPS = _PAIRS.replace(str(RADIUS), str(EPS))
+_DBSCAN = f"""{PTS}, {_NEAR_EPS}, core AS (SELECT a AS id FROM pairs GROUP BY a HAVING count(*) >= {DENSE}), steps AS (SELECT a, b FROM pairs WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core) AND a <> b),
+reach(id, root) AS (SELECT id, id FROM core UNION SELECT s.b, r.root FROM reach r JOIN steps s ON s.a = r.id), roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id), labelled AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM roots),
+border AS (SELECT a AS id, min(label) AS label FROM pairs JOIN labelled ON b = id WHERE a NOT IN (SELECT id FROM core) GROUP BY a), dbscan AS (SELECT p.id, p.x, p.y, l.id IS NOT NULL AS core, coalesce(l.label, b.label, -1)::INT AS label FROM pts p LEFT JOIN labelled l ON l.id = p.id LEFT JOIN border b ON b.id = p.id)"""
+_LINKAGE = f"""{PTS}, {_PAIRS.replace(str(RADIUS), str(RADIUS / 2))}, reach(id, root) AS (SELECT id, id FROM pts UNION SELECT p.b, r.root FROM reach r JOIN pairs p ON p.a = r.id), roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+large AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS label FROM roots GROUP BY root HAVING count(*) >= 3)"""
 ORACLES = {
+    "dbscan": f"WITH RECURSIVE {_DBSCAN} SELECT id, core, label FROM dbscan",
+    "cluster_centroids": f"WITH RECURSIVE {_DBSCAN} SELECT label, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(sqrt(var_samp(x) + var_samp(y)), 6) AS spread FROM dbscan WHERE label >= 0 GROUP BY label",
+    "single_linkage": f"WITH RECURSIVE {_LINKAGE} SELECT id, coalesce(label, -1)::INT AS label FROM roots LEFT JOIN large USING (root)",
     "load_points": f"WITH {SLAB} SELECT grp, count(*) AS n, round(avg(x), 6) AS x_mean, round(avg(y), 6) AS y_mean, round(stddev_samp(z), 6) AS z_sd FROM locs GROUP BY grp",
     "roi_circle": f"WITH {SLAB} SELECT grp, source_index FROM locs WHERE sqrt((x - {CIRCLE[0]}) * (x - {CIRCLE[0]}) + (y - {CIRCLE[1]}) * (y - {CIRCLE[1]})) <= {CIRCLE[2]}",
     "roi_square": f"WITH {SLAB} SELECT grp, source_index FROM locs WHERE x > {SQUARE[0]} AND x < {SQUARE[2]} AND y > {SQUARE[1]} AND y < {SQUARE[3]}",

@@ -112,6 +112,9 @@ ORACLES = {
     "next_frame_neighbours": f"WITH {MOVIE}, pairs AS (SELECT a.event_id, b.event_id AS other, abs(a.x - b.x) AS d FROM movie a JOIN movie b ON a.grp = b.grp AND b.frame = a.frame + 1 WHERE abs(a.x - b.x) < 50.0) SELECT event_id, other, round(d, 6) AS d FROM pairs QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d, other) = 1",
     "revisit_fraction": f"WITH {_EVENTS}, back AS (SELECT grp, first - lag(last) OVER (PARTITION BY grp ORDER BY first, session) AS since FROM collapsed) SELECT grp, round(avg(CASE WHEN since <= 200 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS revisit, count(*) AS n_events FROM back GROUP BY grp",
     "frame_counts": f"WITH {MOVIE} SELECT frame, count(*) AS n, round(avg(x), 6) AS x_mean FROM movie GROUP BY frame",
+    "circular_runs": f"""WITH {_PROFILE}, f AS (SELECT grp, bin, n > avg(n) OVER (PARTITION BY grp) AS filled FROM profile), c AS (SELECT *, coalesce(filled <> lag(filled) OVER (PARTITION BY grp ORDER BY bin), false)::INT AS change FROM f),
+r AS (SELECT grp, bin, filled, sum(change) OVER (PARTITION BY grp ORDER BY bin) AS run, sum(change) OVER (PARTITION BY grp) AS runs, first_value(filled) OVER w = last_value(filled) OVER w AS closed FROM c WINDOW w AS (PARTITION BY grp ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT grp, filled, count(*) AS run_length FROM r GROUP BY grp, filled, CASE WHEN closed AND run = runs THEN 0 ELSE run END""",
     "density_profile": f"WITH {_PROFILE} SELECT grp, bin, n FROM profile",
     "circular_windows": f"WITH {_PROFILE} SELECT p.grp, p.bin, sum(q.n)::BIGINT AS n FROM profile p JOIN profile q ON p.grp = q.grp AND (q.bin - p.bin + {BINS}) % {BINS} < 5 GROUP BY p.grp, p.bin",
     "peak_bins": f"WITH {_PROFILE}, {_PEAK} SELECT grp, peak FROM peaks",

@@ -6,9 +6,12 @@ from locusframe.streaming.events import windowed_counts
 
 def test_csv_headers_frames_and_missing_z(spark, tmp_path):
     p = tmp_path / "a.csv"
-    p.write_text('"Frame","X [nm]","Y [nm]","bkgstd [photon]"\n1,10,20,2\n2,11,21,3\n')
+    p.write_text('"Frame","X [nm]","Y [nm]","z [nm]","bkgstd [photon]","uncertainty [nm]","uncertainty_xy [nm]","note"\n1,10,20,0,2,7,8,a\n2,11,21,0,3,7,8,b\n')
     rows = read_localizations(spark, str(p)).orderBy("frame").collect()
-    assert [(r.frame, r.x_nm, r.z_nm) for r in rows] == [(0, 10.0, 0.0), (1, 11.0, 0.0)]
+    assert [(r.frame, r.x_nm, r.z_nm, r.lpx_nm, r.note) for r in rows] == [(0, 10.0, 0.0, 7.0, "a"), (1, 11.0, 0.0, 7.0, "b")]
+    p.write_text("x [nm],y [nm]\n1,2\n")
+    with pytest.raises(ValueError):
+        read_localizations(spark, str(p))
 
 
 def test_pixels_need_a_size(spark, tmp_path):
