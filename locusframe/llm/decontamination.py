@@ -60,7 +60,9 @@ class Items:
         few = (size > 0) & (size <= FEW)
         for n in sorted(set(self.width[few].tolist())):
             members = np.flatnonzero(few & (self.width == n))
-            one = np.array([self.sets[i][0] for i in members], np.uint64)
+            # The shingle as texts have it that are cut into runs of so many words.
+            own, at = (hashes, first) if n == SHINGLE else shingles(words, rows, n)
+            one = own[at[members]]
             order = np.argsort(one, kind="stable")
             self.short[n] = one[order], members[order]
         self.classes: dict[int, tuple[list[np.ndarray], list[np.ndarray], np.ndarray]] = {}
