@@ -15,6 +15,8 @@ from .common import batches_of, discard, join_counted, mix, stored
 #: Nodes and bytes of text of one side of a cell, on average; bytes of text that are cut into tokens at a time.
 BLOCK = 256
 BLOCK_BYTES = 2 << 20
+#: Cells of up to so many pairs are compared together, pair by pair; tokens that are looked up at a time.
+PAIRS, LOOKUPS = 256, 1 << 20
 BATCH_BYTES, HUB_BYTES = 4 << 20, 1 << 17
 
 
@@ -78,6 +80,30 @@ def close_sets(left: np.ndarray, right: np.ndarray, row: np.ndarray, token: np.n
     return both >= (similarity - 1e-12) * np.maximum(union, 1)
 
 
+def close_pairs(left: np.ndarray, right: np.ndarray, row: np.ndarray, token: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether row ``left[i]`` and row ``right[i]`` are similar enough, for many pairs of few rows each at once.
+
+    ``row`` and ``token`` list the sets in the order of rows, ``size`` has
+    their sizes. Every token of a left row is looked up among those of its
+    right row.
+    """
+    salt = mix(np.arange(1, len(size) + 1, dtype=np.uint64))
+    known = np.sort(mix(token ^ salt[row]))
+    first, count = np.cumsum(size) - size, size[left]
+    shared = np.zeros(len(left), np.int64)
+    ends, a = np.cumsum(count), 0
+    while a < len(left) and len(known):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - count[a] + LOOKUPS, "right")))
+        n = count[a:b]
+        at = np.arange(n.sum()) + np.repeat(first[left[a:b]] - (np.cumsum(n) - n), n)
+        pair = np.repeat(np.arange(a, b), n)
+        asked = mix(token[at] ^ salt[right[pair]])
+        hit = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
+        shared += np.bincount(pair[hit], minlength=len(left))
+        a = b
+    return shared >= (similarity - 1e-12) * np.maximum(size[left] + size[right] - shared, 1)
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     """Numbers of the links (a, b) that join what earlier ones have not."""
     above: dict[int, int] = {}
@@ -115,19 +141,31 @@ def compare_cells(cells: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarra
             token, row = tokens(some.column("text"))
             many = np.bincount(row, minlength=some.num_rows)
             node, comp, part = (np.asarray(some.column(c)) for c in ("node", "comp", "part"))
-            a, b = [], []
+            a, b, some_left, some_right = [], [], [], []
             first = np.searchsorted(row, cuts[k : to + 1] - cuts[k])
             for c in range(to - k):
                 low, high = cuts[k + c] - cuts[k], cuts[k + c + 1] - cuts[k]
                 left, right = np.flatnonzero(part[low:high] & 1), np.flatnonzero(part[low:high] & 2)
                 own = comp[low:high]
-                if len(left) and len(right) and (own != own[0]).any():
+                if len(left) and len(right) and len(left) * len(right) <= PAIRS:
+                    some_left.append(np.repeat(low + left, len(right)))
+                    some_right.append(np.tile(low + right, len(left)))
+                elif len(left) and len(right) and (own != own[0]).any():
                     own_tokens = slice(first[c], first[c + 1])
                     close = close_sets(left, right, row[own_tokens] - low, token[own_tokens], many[low:high], similarity)
                     x, y = np.nonzero(close & (own[left][:, None] != own[right][None, :]))
                     keep = _forest(own[left[x]], own[right[y]])
                     a.append(node[low + left[x[keep]]])
                     b.append(node[low + right[y[keep]]])
+            if some_left:
+                x, y = np.concatenate(some_left), np.concatenate(some_right)
+                other = comp[x] != comp[y]
+                x, y = x[other], y[other]
+                close = close_pairs(x, y, row, token, many, similarity)
+                x, y = x[close], y[close]
+                keep = _forest(comp[x], comp[y])
+                a.append(node[x[keep]])
+                b.append(node[y[keep]])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
             k = to
