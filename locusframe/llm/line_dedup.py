@@ -82,25 +82,33 @@ def signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, bins: i
 
 
 def line_bands(lines: DataFrame) -> DataFrame:
-    """(node, bands) of ``lines(node, line)``; a task gives the bands of a line that it has given lately no second time."""
+    """(row, at, node, h2, bands) of every line of ``lines(row, at, line, node, h2)``.
+
+    ``bands`` is empty for a line shorter than a shingle, and for one that the
+    task has given bands lately.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part in batches_of(batch, "line", 1 << 17):
-                nodes, one = np.unique(np.asarray(part.column("node")), return_index=True)
-                new = np.array([x not in seen for x in nodes.tolist()], bool)
-                nodes, one = nodes[new], one[new]
+                nodes = np.asarray(part.column("node"))
+                long = part.column("long").to_numpy(zero_copy_only=False)
+                one = np.sort(np.unique(nodes, return_index=True)[1])
+                one = one[[bool(k) and x not in seen for k, x in zip(long[one], nodes[one].tolist(), strict=True)]]
                 if len(seen) > SEEN:
                     seen.clear()
-                seen.update(nodes.tolist())
+                seen.update(nodes[one].tolist())
                 data, offsets = text_bytes(part.column("line").take(pa.array(one)))
                 points, edges = code_points(data, offsets)
                 keys = band_keys(signatures(points, edges[:-1], edges[1:]), BANDS, PER_BAND)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), bands], ["node", "bands"])
+                cuts = np.zeros(len(nodes) + 1, np.int32)
+                cuts[one + 1] = BANDS
+                bands = pa.ListArray.from_arrays(pa.array(np.cumsum(cuts, dtype=np.int32)), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "at", "node", "h2")), bands], ["row", "at", "node", "h2", "bands"])
 
-    return lines.select("node", "line").mapInArrow(run, "node bigint, bands array<bigint>")
+    rows = lines.select("row", "at", "node", "h2", (F.char_length("line") >= SHINGLE).alias("long"), "line")
+    return rows.mapInArrow(run, "row bigint, at int, node bigint, h2 bigint, bands array<bigint>")
 
 
 def lines_of(docs: DataFrame, every: bool = False) -> DataFrame:
@@ -141,16 +149,15 @@ def kept_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     so only equal ones are similar: they need no bands. The line that stays of
     a component is that of the smallest row and position.
     """
-    lines = lines_of(docs, every)
-    firsts = stored(lines.groupBy("node", "h2").agg(F.min(F.struct("row", "at")).alias("one")).select("node", "one.row", "one.at"), "first-lines")
-    sketches = stored(line_bands(lines.where(F.char_length("line") >= SHINGLE)), "line-sketches")
+    placed = stored(line_bands(lines_of(docs, every)), "line-sketches")
+    firsts = stored(placed.groupBy("node", "h2").agg(F.min(F.struct("row", "at")).alias("one")).select("node", "one.row", "one.at"), "first-lines")
 
     def prepare(nodes: DataFrame) -> DataFrame:
         wanted = firsts.join(nodes.hint("merge"), "node", "left_semi").groupBy("row").agg(F.collect_list(F.struct("node", "at")).alias("wanted"))
         found = docs.join(wanted.hint("merge"), "row").select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("one"))
         return found.select("one.node", F.element_at("lines", F.col("one.at") + 1).alias("text"))
 
-    roots = link_buckets(sketches, prepare, tokens, SIMILARITY)
+    roots = link_buckets(placed.where(F.size("bands") > 0).select("node", "bands"), prepare, tokens, SIMILARITY)
     kept = firsts
     if roots is not None:
         grouped = stored(firsts.join(roots.hint("merge"), "node").select("root", "row", "at"), "similar-lines")
@@ -158,7 +165,7 @@ def kept_lines(docs: DataFrame, every: bool = False) -> DataFrame:
         others = join_counted(grouped, best, "root").where(F.struct("row", "at") != F.col("best")).select("row", "at")
         kept = firsts.join(others.hint("merge"), ["row", "at"], "left_anti")
     out = stored(kept.groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("kept")), "kept-lines")
-    discard(firsts, sketches, roots, *((grouped, best) if roots is not None else ()))
+    discard(firsts, placed, roots, *((grouped, best) if roots is not None else ()))
     return out
 
 
