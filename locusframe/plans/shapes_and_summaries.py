@@ -150,12 +150,12 @@ def mixed_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def animal_means(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(summaries.by_animal(_rows(spark, d), ["value", "other"]), 3)
+    return rounded(summaries.by_animal(_rows(spark, d), ["value", "other"]))
 
 
 def scoped_means(spark: SparkSession, d: str) -> DataFrame:
     scopes = {"main": F.col("axon") % 2 == 0, "no_misfit": F.col("axon") % 3 > 0, "all": F.lit(True)}
-    return rounded(summaries.over_scopes(samples(spark, d), scopes), 3)
+    return rounded(summaries.over_scopes(samples(spark, d), scopes))
 
 
 def reading_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +198,7 @@ def planned_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tau_choices(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(summaries.tau_choices(read(spark, d, "part").select((F.col("p_retailprice") / 640).alias("value"))))
+    return rounded(summaries.tau_choices(read(spark, d, "part").select((F.col("p_retailprice") / 730.3).alias("value"))))
 
 
 def design_effect(spark: SparkSession, d: str) -> DataFrame:
@@ -249,8 +249,8 @@ SELECT grp, 'circle' AS region, c AS inside, c = n AS all_inside FROM c UNION AL
     "next_frame_pairs": f"WITH {_FRAMES}, p AS (SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM f a JOIN f b ON a.grp = b.grp AND b.frame = a.frame + 1), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d) AS k FROM p WHERE d < {NEXT}) SELECT id, round(min(d), 6) AS d1, round(max(d) FILTER (WHERE k = 2), 6) AS d2 FROM r WHERE k <= 2 GROUP BY id",
     "repeat_fraction": f"WITH {_FRAMES}, s AS (SELECT DISTINCT a.id FROM f a JOIN f b ON a.grp = b.grp AND abs(a.frame - b.frame) >= {GAP} AND b.x BETWEEN a.x - {REPEAT} AND a.x + {REPEAT} AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {REPEAT}) SELECT grp, count(*) AS n, round(avg((s.id IS NOT NULL)::INT), 6) AS fraction FROM f LEFT JOIN s USING (id) GROUP BY grp",
     "mixed_columns": "WITH r AS (SELECT p_brand, p_type, CASE WHEN p_size % 2 = 0 THEN 'a' ELSE '' END AS unit, (p_size % 3)::VARCHAR AS version FROM part), u AS (SELECT 'p_brand' AS \"column\", p_brand AS v FROM r UNION ALL SELECT 'p_type', p_type FROM r UNION ALL SELECT 'unit', unit FROM r UNION ALL SELECT 'version', version FROM r) SELECT \"column\", count(DISTINCT v) AS n, min(v) AS first, max(v) AS last FROM u WHERE v <> '' GROUP BY 1 HAVING count(DISTINCT v) > 1",
-    "animal_means": f"WITH {SAMPLES}, u AS (SELECT animal, 'value' AS measure, value AS v FROM samples UNION ALL SELECT animal, 'other', value - 150000 FROM samples), s AS (SELECT animal, measure, count(*) AS n, avg(v) AS m, stddev_samp(v) AS sd FROM u GROUP BY ALL) SELECT animal, measure, n, round(m, 3) AS mean, round(sd, 3) AS sd, round(CASE WHEN sd > 0 THEN m / (sd / sqrt(n)) END, 3) AS t FROM s",
-    "scoped_means": f"WITH {SAMPLES}, u AS (SELECT 'main' AS scope, * FROM samples WHERE axon % 2 = 0 UNION ALL SELECT 'no_misfit', * FROM samples WHERE axon % 3 > 0 UNION ALL SELECT 'all', * FROM samples) SELECT scope, grp, count(*) AS n, count(DISTINCT animal) AS animals, round(avg(value), 3) AS mean FROM u GROUP BY ALL",
+    "animal_means": f"WITH {SAMPLES}, u AS (SELECT animal, 'value' AS measure, value AS v FROM samples UNION ALL SELECT animal, 'other', value - 150000 FROM samples), s AS (SELECT animal, measure, count(*) AS n, avg(v) AS m, stddev_samp(v) AS sd FROM u GROUP BY ALL) SELECT animal, measure, n, round(m, 6) AS mean, round(sd, 6) AS sd, round(CASE WHEN sd > 0 THEN m / (sd / sqrt(n)) END, 6) AS t FROM s",
+    "scoped_means": f"WITH {SAMPLES}, u AS (SELECT 'main' AS scope, * FROM samples WHERE axon % 2 = 0 UNION ALL SELECT 'no_misfit', * FROM samples WHERE axon % 3 > 0 UNION ALL SELECT 'all', * FROM samples) SELECT scope, grp, count(*) AS n, count(DISTINCT animal) AS animals, round(avg(value), 6) AS mean FROM u GROUP BY ALL",
     "reading_counts": f"WITH {SAMPLES} SELECT grp, count(*) FILTER (WHERE value > 200000) AS lattice, count(*) FILTER (WHERE value > 100000 AND value <= 200000) AS weak, count(*) FILTER (WHERE value <= 100000) AS none, round(quantile_cont(value, 0.5), 5) AS median_spacing, count(DISTINCT animal) FILTER (WHERE value > 200000) >= 30 AS evidence FROM samples GROUP BY grp",
     "conclusions": f"WITH {_CONCLUSIONS} SELECT axon, readout, kind, reference_value, n_methods, n_values, min_value, min_method, max_value, max_method, \"range\", round(relative_range, 6) AS relative_range, large_spread, depends FROM conclusion",
     "conclusions_over_axons": f"WITH {_CONCLUSIONS} SELECT readout, kind, count(*) AS n_axons, count(*) FILTER (WHERE depends = 'yes') AS n_depends, count(*) FILTER (WHERE depends = 'undetermined') AS n_undetermined, count(*) FILTER (WHERE large_spread) AS n_large_spread, round(quantile_cont(relative_range, 0.5), 6) AS median_relative_range FROM conclusion GROUP BY ALL",
@@ -258,7 +258,7 @@ SELECT grp, 'circle' AS region, c AS inside, c = n AS all_inside FROM c UNION AL
     "finite_summary": f"WITH {SAMPLES} SELECT grp, count(*) AS n, round(quantile_cont(value - 150000, 0.5), 5) AS median, round(avg((value - 150000 > 0)::INT), 5) AS positive FROM samples WHERE axon % 4 > 1 GROUP BY grp",
     "fisher_z": f"WITH {CLUSTERED}, o AS (SELECT label AS grp, count(*) AS n, corr(x, photons) AS r FROM clus GROUP BY label) SELECT grp, n, round(r, 5) AS r, round(atanh(r) * sqrt(n - 3), 5) AS z FROM o WHERE n > 3 AND abs(r) < 1",
     "planned_runs": "WITH o AS (SELECT p_type AS method, '{\"size\":' || (p_size % 5) || '}' AS params, min(p_partkey) AS asked, count(*) AS n FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1, 2) SELECT row_number() OVER (ORDER BY method <> 'PROMO', asked)::INT AS place, method, params, n FROM o",
-    "tau_choices": "SELECT round_even(p_retailprice / 640, 2) AS tau, count(*) AS n FROM part GROUP BY 1",
+    "tau_choices": "SELECT round_even(p_retailprice / 730.3::DOUBLE, 2) AS tau, count(*) AS n FROM part GROUP BY 1",
     "design_effect": f"WITH {SAMPLES}, {_ICC}, i AS (SELECT grp, CASE WHEN w > 0 THEN greatest(0, (b - w) / n0) / (greatest(0, (b - w) / n0) + w) END AS icc FROM ms), s AS (SELECT grp, avg(n) AS m, sum(n) AS rows FROM per GROUP BY grp) SELECT grp, round(icc, 5) AS icc, round(1 + (m - 1) * icc, 5) AS effect, round(rows / (1 + (m - 1) * icc), 5) AS effective_n FROM i JOIN s USING (grp)",
     "fusion_scale": f"WITH {SLAB} SELECT grp, round(sum(greatest(x - 20, 0)), 6) AS scale FROM locs GROUP BY grp",
 }
