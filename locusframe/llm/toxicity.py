@@ -22,6 +22,8 @@ BITS = 17
 POSITIVES = 3_000
 UNLABELLED = 6_000
 FOLDS = 5
+#: Largest class prior that is taken from the labels.
+MOST_TOXIC = 0.25
 #: A feature counts if it is in so many positives, and in such a share of them.
 LEAST_DOCS = 4
 LEAST_SHARE = 0.02
@@ -111,13 +113,14 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
     Both are those with the smallest hash of their id, so the sample does not
     depend on partitioning. The class prior is the share of toxic rows among
-    the labels outside fold 0, unless given. Only hashed features of the
+    the labels outside fold 0, unless given, and at most MOST_TOXIC: labels are
+    often picked, and a text without any sign must not count as toxic. Only hashed features of the
     bounded sample reach the driver.
     """
     usable = labels.where((fold(F.col("doc_id"), FOLDS) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
         share = usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-        prior = min(0.5, max(0.005, share if share is not None else 0.05))
+        prior = min(MOST_TOXIC, max(0.005, share if share is not None else 0.05))
     place = F.xxhash64(F.col("doc_id").cast("string"))
     toxic = usable.where("toxic = 1").select("doc_id", F.lit(True).alias("positive")).orderBy(place, "doc_id").limit(positives)
     other = docs.where(fold(F.col("doc_id"), FOLDS) != 0).select("doc_id").join(usable.where("toxic = 1"), "doc_id", "left_anti").select("doc_id", F.lit(False).alias("positive")).orderBy(place, "doc_id").limit(unlabelled)

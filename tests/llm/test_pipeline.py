@@ -65,7 +65,7 @@ def tables(spark, tmp_path_factory):
     rows.append(rows[9])
     spark.createDataFrame([(*r, "r", 1, 2, "s", 5, 6) for r in rows], DOC).coalesce(1).write.parquet(f"{at}/documents.parquet")
     first = len(texts)
-    labels = [(i, 1, int(i >= first)) for i in [*range(0, 20), *range(first, first + 24)]]
+    labels = [(i, 1, int(i >= first)) for i in [*range(0, 34), *range(first, first + 24)]]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(1, item), (2, prose(902, 12))], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     return at, range(first, first + 24), item
