@@ -96,8 +96,9 @@ def references(docs: DataFrame) -> DataFrame:
     t = F.col("text")
     points = _without(t, POINTS)
     parts = {"wide": F.octet_length("text") - F.char_length("text"), "digits": _without(t, "[0-9]+"), "upper": _without(t, "[A-Z]+"), "points": points, "symbols": F.regexp_count("text", F.lit(SYMBOLS)), "spaces": _without(t, SPACES + "+")}
-    counted = keyed.groupBy("lang_key").agg(F.count("*").alias("docs"), n(F.size(F.array_remove(F.split("text", SPACES + "+"), ""))).alias("words"), n(F.char_length("text")).alias("chars"), *(n(c).alias(k) for k, c in parts.items()))
-    sums = stored(counted, "class-sums")
+    counted = keyed.groupBy("lang_key").agg(F.count("*").alias("docs"), n(F.char_length("text")).alias("chars"), *(n(c).alias(k) for k, c in parts.items()))
+    sizes = words.groupBy("lang_key").agg(F.sum(F.col("n").cast("double")).alias("words"))
+    sums = stored(counted.join(sizes, "lang_key", "left").withColumn("words", F.coalesce("words", F.lit(0.0))), "class-sums")
     pooled_sums = sums.groupBy(F.lit(POOLED).alias("lang_key")).agg(*(F.sum(c).alias(c) for c in sums.columns[1:]))
     pooled_words = words.groupBy(F.lit(POOLED).alias("lang_key"), "word").agg(F.sum("n").alias("n")).selectExpr("*", rank).where(F.col("place") <= COMMON_WORDS)
     top = per_word.unionByName(pooled_words).groupBy("lang_key").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus"), "word"))).alias("top"))
