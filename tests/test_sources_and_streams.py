@@ -1,7 +1,7 @@
 import pytest
 
 from locusframe.sources.tables import append_rows, read_localizations
-from locusframe.streaming.events import windowed_counts
+from locusframe.streaming.events import first_of_each, sessions, sliding_counts, windowed_counts
 
 
 def test_csv_headers_frames_and_missing_z(spark, tmp_path):
@@ -39,3 +39,23 @@ def test_windowed_counts_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.event_type, r.n, r.total) for r in spark.sql("select * from counts").collect()] == [("a", 2, 3.0)]
+
+
+def _drained(spark, stream, name, at):
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(at / name)).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.sql(f"select * from {name}").collect()
+
+
+def test_sessions_windows_and_repeats_in_streams(spark, tmp_path):
+    p = str(tmp_path / "rows")
+    rows = [("00:00:00", 1, "a"), ("00:01:00", 1, "a"), ("00:09:00", 1, "b"), ("00:01:00", 2, "a"), ("00:01:30", 2, "a"), ("03:00:00", 9, "z")]
+    spark.createDataFrame(rows, "t string, user_id long, event_type string").selectExpr("to_timestamp(concat('2024-01-01 ', t)) as ts", "user_id", "event_type").coalesce(1).write.parquet(p)
+    source = lambda: spark.readStream.schema(spark.read.parquet(p).schema).parquet(p)
+    found = _drained(spark, sessions(source(), "ts", "5 minutes"), "gaps", tmp_path)
+    assert sorted((r.user_id, r.n_locs, r.first.minute) for r in found) == [(1, 1, 9), (1, 2, 0), (2, 2, 1)]
+    found = _drained(spark, sliding_counts(source(), "ts", "10 minutes", "5 minutes"), "sliding", tmp_path)
+    assert sorted((str(r.start)[11:16], r.event_type, r.n) for r in found if r.event_type != "z" and r.start.day == 1) == [("00:00", "a", 4), ("00:00", "b", 1), ("00:05", "b", 1)]
+    found = _drained(spark, first_of_each(source(), "ts", ["user_id", "event_type"]), "firsts", tmp_path)
+    assert len(found) == 4
