@@ -90,8 +90,8 @@ def test_leaks_against_brute_force(spark):
     want = set()
     for d, text in docs:
         for i, t in items:
-            s = decontamination.word_tuples(t or "")
-            if s and len(s & decontamination.word_tuples(text or "")) >= 0.8 * len(s):
+            s = decontamination.word_tuples(t or "", 5, True)
+            if s and len(s & decontamination.word_tuples(text or "", len(next(iter(s))))) >= 0.8 * len(s):
                 want.add((d, i))
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, bench).collect()} == want
