@@ -15,8 +15,8 @@ from .common import batches_of, discard, join_counted, mix, stored
 #: Nodes and bytes of text of one side of a cell, on average; bytes of text that are cut into tokens at a time.
 BLOCK = 256
 BLOCK_BYTES = 2 << 20
-#: Cells of up to so many pairs are compared together, pair by pair; tokens that are looked up at a time.
-PAIRS, LOOKUPS = 256, 1 << 20
+#: Cells of up to so many pairs are compared together, pair by pair, since a matrix costs more than these; tokens that are looked up at a time.
+PAIRS, LOOKUPS = 8, 1 << 20
 BATCH_BYTES, HUB_BYTES = 4 << 20, 1 << 17
 
 
