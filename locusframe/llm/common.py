@@ -54,12 +54,13 @@ def discard(*tables: DataFrame | None) -> None:
     Spark removes the shuffles of past queries when the driver collects its
     garbage, which it may not do for long; so it is asked to.
     """
-    for df in tables:
-        if df is not None:
-            jvm = df.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-            jvm.System.gc()
+    found = [df for df in tables if df is not None]
+    for df in found:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if found:
+        found[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def unused(df: DataFrame, name: str) -> str:
