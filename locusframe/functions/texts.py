@@ -108,7 +108,7 @@ def duration(seconds: Column) -> Column:
 
 
 def time_left(share: Column, elapsed: Column) -> Column:
-    """Straight-line estimate of the time left; empty below a share of 2 % or 10 s."""
+    """Straight-line estimate of the time left, in fixed words; empty below a share of 2 % or 10 s."""
     left = elapsed * (1 - share) / share
     whole = lambda c: F.bround(c, 0).cast("bigint")
     five = F.greatest(whole(left / 5) * 5, F.lit(5)).cast("string")

@@ -44,7 +44,7 @@ def combination_table(pairs: DataFrame, viable: float, marginal: float) -> DataF
 
 
 def pool_reason(status: Column, failure: Column, assessed: Column, rejected: Column, gate: Column) -> Column:
-    """Why a contour does not enter the pool; null if it does."""
+    """Why a contour does not enter the pool, in fixed sentences; null if it does."""
     return (
         F.when(status != "ok", F.concat(F.lit("analysis "), status, F.when(failure != "", F.concat(F.lit(": "), failure)).otherwise("")))
         .when(~assessed, "contour not assessed by the quality gate")
