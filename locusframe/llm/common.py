@@ -49,18 +49,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame | None) -> None:
-    """Delete stored tables that no later table is computed from.
+    """Delete stored tables that no later table is computed from."""
+    for df in tables:
+        if df is not None:
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
-    Spark removes the shuffles of past queries when the driver collects its
-    garbage, which it may not do for long; so it is asked to.
+
+def let_go(spark: SparkSession) -> None:
+    """Ask for what past queries have left behind to be removed.
+
+    Spark deletes the shuffles of past queries when the driver collects its
+    garbage, which it may not do for long.
     """
-    found = [df for df in tables if df is not None]
-    for df in found:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    if found:
-        found[0].sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, discard, join_counted, mix, stored
+from .common import batches_of, discard, join_counted, let_go, mix, stored
 
 #: Nodes and bytes of text of one side of a cell, on average; bytes of text that are cut into tokens at a time.
 BLOCK = 256
@@ -292,4 +292,5 @@ def link_buckets(sketches: DataFrame, prepare: Callable[[DataFrame], DataFrame],
         discard(roots)
         roots = connected_components(whole)
     discard(stars, sizes, edges, more, grouped, mixed, some, kinds, texts)
+    let_go(sketches.sparkSession)
     return roots if roots.limit(1).count() else None
