@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, divergence, html_blocks, language_crf, line_dedup, log_bilinear, mixing, near_dedup, toxicity, warc
+from . import decontamination, divergence, html_blocks, language_crf, line_dedup, log_bilinear, merkle, mixing, near_dedup, toxicity, warc, whitening
 from .common import table
 
 
@@ -51,8 +51,16 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), every=True).select("doc_id", "n_removed", "text")
 
 
+def op12_merkle_superblocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_chan_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc_segments, op2_toxicity_nnpu, op3_distribution_divergence, op4_benchmark_decontamination, op5_language_crf, op6_dart_minhash, op7_html_blocks, op8_log_bilinear, op9_poisson_mixing, op10_fuzzy_lines]
+    found = [op1_warc_segments, op2_toxicity_nnpu, op3_distribution_divergence, op4_benchmark_decontamination, op5_language_crf, op6_dart_minhash, op7_html_blocks, op8_log_bilinear, op9_poisson_mixing, op10_fuzzy_lines, op12_merkle_superblocks, op13_chan_whitening]
     return {f.__name__: f for f in found}
 
 
@@ -75,4 +83,4 @@ FROM found f JOIN first USING (h, payload_bytes)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_segments": WARC_SQL, "op9_poisson_mixing": mixing.mix_sql()}
+    return {"op1_warc_segments": WARC_SQL, "op9_poisson_mixing": mixing.mix_sql(), "op12_merkle_superblocks": merkle.audit_sql()}
