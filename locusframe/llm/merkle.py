@@ -223,8 +223,8 @@ top AS (SELECT 0 AS level, idx, h, n FROM subs UNION ALL
     SELECT level + 1, idx // {fanout}, sha256(string_agg(h, '' ORDER BY idx)), (n + {fanout - 1}) // {fanout} FROM top WHERE n > 1 GROUP BY level, idx // {fanout}, n),
 sides AS (SELECT tree, level, idx, coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, idx // {fanout} ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, idx // {fanout} ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM up WHERE n > 1),
 top_sides AS (SELECT level, idx, coalesce(string_agg(h, '') OVER (PARTITION BY level, idx // {fanout} ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER (PARTITION BY level, idx // {fanout} ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM top WHERE n > 1),
-steps AS (SELECT l.tree, l.idx, s.level, s.a, s.b FROM leaves l JOIN sides s ON l.tree = s.tree AND s.idx = l.idx // {fanout} ** s.level::INT UNION ALL
-    SELECT l.tree, l.idx, u.level + t.level, t.a, t.b FROM leaves l JOIN subs u USING (tree) JOIN top_sides t ON t.idx = u.idx // {fanout} ** t.level::INT),
+steps AS (SELECT l.tree, l.idx, s.level, s.a, s.b FROM leaves l JOIN sides s ON l.tree = s.tree AND s.idx = l.idx // ({fanout} ** s.level)::BIGINT UNION ALL
+    SELECT l.tree, l.idx, u.level + t.level, t.a, t.b FROM leaves l JOIN subs u USING (tree) JOIN top_sides t ON t.idx = u.idx // ({fanout} ** t.level)::BIGINT),
 proofs AS (SELECT tree, idx, list(a ORDER BY level) AS lefts, list(b ORDER BY level) AS rights, sha256(string_agg(a || b, '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY ALL),
 folding AS (SELECT l.tree, l.idx, 1 AS k, l.seen AS h, p.lefts, p.rights FROM leaves l LEFT JOIN proofs p USING (tree, idx) UNION ALL
     SELECT tree, idx, k + 1, sha256(lefts[k] || h || rights[k]), lefts, rights FROM folding WHERE k <= len(lefts))
