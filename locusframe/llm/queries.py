@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, divergence, html_blocks, language_crf, line_dedup, log_bilinear, merkle, mixing, near_dedup, toxicity, warc, whitening
+from . import decontamination, divergence, html_blocks, language_crf, line_dedup, log_bilinear, merkle, mixing, near_dedup, personal_data, toxicity, warc, whitening
 from .common import table
 
 
@@ -51,6 +51,11 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), every=True).select("doc_id", "n_removed", "text")
 
 
+def op11_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal_data.report(docs, personal_data.fit(docs))
+
+
 def op12_merkle_superblocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op13_chan_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc_segments, op2_toxicity_nnpu, op3_distribution_divergence, op4_benchmark_decontamination, op5_language_crf, op6_dart_minhash, op7_html_blocks, op8_log_bilinear, op9_poisson_mixing, op10_fuzzy_lines, op12_merkle_superblocks, op13_chan_whitening]
+    found = [op1_warc_segments, op2_toxicity_nnpu, op3_distribution_divergence, op4_benchmark_decontamination, op5_language_crf, op6_dart_minhash, op7_html_blocks, op8_log_bilinear, op9_poisson_mixing, op10_fuzzy_lines, op11_semi_markov_pii, op12_merkle_superblocks, op13_chan_whitening]
     return {f.__name__: f for f in found}
 
 
