@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROW = "__row"
 
@@ -66,6 +68,11 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def named(c: str) -> Column:
+    """The column of that name, dots and backticks being part of it."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` has not: ``name``, with more underscores if need be."""
     taken = {c.lower() for c in df.columns}
@@ -74,6 +81,29 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_columns(df: DataFrame, work: Callable[[pa.RecordBatch], list[pa.Array]], added: T.StructType, most: int = 8 << 20) -> DataFrame:
+    """Rows of ``df`` with columns ``added`` that ``work`` computes from parts of batches with about ``most`` bytes of text.
+
+    Columns may have any names: those that are no plain identifiers have
+    others while ``work`` sees them, and get theirs back by position.
+    """
+    names: list[str] = []
+    for i, c in enumerate([*df.columns, *added.names]):
+        name = c if c.isidentifier() else f"c{i}"
+        while name.lower() in {x.lower() for x in [*names, *df.columns[i + 1 :]]}:
+            name += "_"
+        names.append(name)
+    plain = df.toDF(*names[: len(df.columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batches_of(batch, "text", most):
+                yield pa.RecordBatch.from_arrays([*part.columns, *work(part)], names)
+
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(names[len(df.columns) :], added.fields, strict=True))])
+    return plain.mapInArrow(run, schema).toDF(*df.columns, *added.names)
+
+
 #: Operations that give the same rows in the same order to the same task whenever they run.
 _STEADY = frozenset("Project Filter Relation LogicalRDD LocalRelation SubqueryAlias".split())
 
@@ -256,11 +286,16 @@ def distinct_pairs(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.
     return order[start], order, start
 
 
+#: Rows of a part of a batch; their numbers fit in 16 bits.
+ROWS = 1 << 15
+
+
 def batches_of(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
-    """Parts of a record batch with about ``most`` bytes of text each."""
+    """Parts of a record batch with about ``most`` bytes of text, and at most ROWS rows, each."""
     _, offsets = text_bytes(batch.column(column))
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        to = min(to, at + ROWS)
         yield batch.slice(at, to - at)
         at = to

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _power_tables, batches_of, discard, distinct_pairs, join_counted, mix, steady, stored, text_bytes, unused, with_row
+from .common import _power_tables, batches_of, discard, distinct_pairs, join_counted, mix, named, steady, stored, text_bytes, unused, with_row
 from .linking import link_buckets
 from .near_dedup import band_keys
 
@@ -192,4 +192,4 @@ def dedup_lines(docs: DataFrame, every: bool = False, removed: str = "n_removed"
     placed = joined.withColumn(kept, F.array_except(F.array_compact(used), F.coalesce(kept, F.array().cast("array<int>"))))  # now those that go
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(kept)), lambda i: F.get(F.col(lines), i))
     n = F.when(text.isNull(), 0).otherwise(F.size(kept))
-    return placed.select(*(F.when(n > 0, F.array_join(left, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.drop(removed).columns), n.alias(removed))
+    return placed.select(*(F.when(n > 0, F.array_join(left, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else named(c) for c in docs.drop(removed).columns), n.alias(removed))

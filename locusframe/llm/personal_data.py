@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, mix
+from .common import mix, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
@@ -562,17 +562,15 @@ def find(docs: DataFrame, model: SemiCrf, spans: str = "spans", masked: str | No
     added = T.StructType([T.StructField(spans, T._parse_datatype_string(SPANS)), *([T.StructField(masked, T.StringType())] if masked else [])])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in batches_of(batch, "text", 4 << 20):
-                texts = part.column("text").to_pylist()
-                found = [sorted(s, key=lambda x: (KINDS.index(x[0]), x[1])) for s in found_spans(shared.value, [t or "" for t in texts])]
-                columns = [pa.array([[dict(zip(("kind", "start", "end", "base"), x, strict=True)) for x in s] for s in found], kind)]
-                if masked:
-                    columns.append(pa.array([None if t is None else mask(t, s) for t, s in zip(texts, found, strict=True)], pa.string()))
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *added.names])
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added.fields]))
+    def work(part: pa.RecordBatch) -> list[pa.Array]:
+        texts = part.column("text").to_pylist()
+        found = [sorted(s, key=lambda x: (KINDS.index(x[0]), x[1])) for s in found_spans(shared.value, [t or "" for t in texts])]
+        columns = [pa.array([[dict(zip(("kind", "start", "end", "base"), x, strict=True)) for x in s] for s in found], kind)]
+        if masked:
+            columns.append(pa.array([None if t is None else mask(t, s) for t, s in zip(texts, found, strict=True)], pa.string()))
+        return columns
+
+    return with_columns(kept, work, added, 4 << 20)
 
 
 def mask(text: str, spans: list[tuple[str, int, int, bool]]) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_ALNUM, batches_of, fold, text_bytes, word_hashes
+from .common import NOT_ALNUM, batches_of, fold, text_bytes, with_columns, word_hashes
 
 BITS = 17
 #: Bounds of the training sample, in rows, and the folds that labels may come from.
@@ -144,17 +144,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score")
     weights, intercept = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        for batch in batches:
-            for part in batches_of(batch, "text"):
-                feature, value, first = hashed_words(part.column("text"))
-                f = _dot(w, feature, value, first) + intercept
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(f, -30, 30))), pa.float64())], names=[*part.schema.names, name])
+    def work(part: pa.RecordBatch) -> list[pa.Array]:
+        feature, value, first = hashed_words(part.column("text"))
+        f = _dot(shared.value, feature, value, first) + intercept
+        return [pa.array(1 / (1 + np.exp(-np.clip(f, -30, 30))), pa.float64())]
 
-    kept = docs.drop(name)
-    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
-    return kept.mapInArrow(run, schema)
+    return with_columns(docs.drop(name), work, T.StructType([T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -19,9 +19,9 @@ def prose(seed, n):
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    """Nulls, empty texts, a long text, repeated rows and a clashing extra column."""
+    """Nulls, empty texts, a long text, repeated rows and a clashing and dotted extra columns."""
     rows = [(1, None, None, None, 0), (2, "", "en", "a", 0), (None, prose(1, 80), "en", "a", 1), (3, prose(2, 120), None, "b", 1), (3, prose(2, 120), None, "b", 1), (4, prose(3, 30000), "en", None, 1), (5, "42 !!", "en", "a", 1)]
-    return spark.createDataFrame([(*r, 9, 9, 9.0) for r in rows], DOC + ", copy int, __n int, score double")
+    return spark.createDataFrame([(*r, 9, 9, 9.0, 8) for r in rows], DOC + ", copy int, __n int, score double, `meta.x` int")
 
 
 @pytest.fixture(scope="module")

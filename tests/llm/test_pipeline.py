@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from locusframe.llm import common, decontamination, line_dedup, toxicity
 
-DOC = "doc_id long, text string, lang string, source string, n_chars int, row string, gone int, kept int, score string, __row long, drawn int"
+DOC = "doc_id long, text string, lang string, source string, n_chars int, row string, gone int, kept int, score string, __row long, drawn int, `meta.x` int"
 WORDS = [a + b for a in ("ra", "ti", "mo", "ke", "lu", "so", "ne", "da") for b in ("n", "ster", "ling", "dor", "vex", "pa")]
 HATE = ["vilescum", "filthrot", "hatespit"]
 
@@ -63,7 +63,7 @@ def tables(spark, tmp_path_factory):
     texts += [None, "", " \n ", "Les.\nLes.", "Les."]
     rows = [(i, t, "en", None if i % 7 == 0 else "s%d" % min(i % 5, 2), len(t or "")) for i, t in enumerate([*texts, *toxic])] + [(None, prose(55, 30), "en", "s0", 1)]
     rows.append(rows[9])
-    spark.createDataFrame([(*r, "r", 1, 2, "s", 5, 6) for r in rows], DOC).coalesce(1).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(*r, "r", 1, 2, "s", 5, 6, 7) for r in rows], DOC).coalesce(1).write.parquet(f"{at}/documents.parquet")
     first = len(texts)
     labels = [(i, 1, int(i >= first)) for i in [*range(0, 34), *range(first, first + 24)]]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")

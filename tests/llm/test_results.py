@@ -133,6 +133,31 @@ def test_every_short_item_is_found(words):
     assert {(r, i) for r, i, _ in found} >= {(k, k) for k in range(40)}
 
 
+@pytest.mark.parametrize(("words", "times"), [(5, 60), (6, 40), (8, 30), (7, 15), (30, 3), (25, 1), (60, 2)])
+def test_items_that_repeat_themselves_are_found(words, times):
+    rng = random.Random(words)
+    items = [" ".join(["%s%d" % (rng.choice(WORDS), rng.randrange(99)) for _ in range(words)] * times) for _ in range(60)]
+    found = decontamination.Items(list(range(60)), items).search(pa.array([prose(k, 400) + " " + x + " " + prose(99 + k, 400) for k, x in enumerate(items)]))
+    assert {(r, i) for r, i, _ in found} >= {(k, k) for k in range(60)}
+
+
+def test_recall_of_items_with_changed_words_by_size():
+    """Of items of which the document has 0.8 or more of the shingles, 0.97 or more are found, in each class of size."""
+    rng = random.Random(12)
+    for words in (12, 20, 40, 90, 200):
+        items = [prose(1000 * words + k, words).split() for k in range(60)]
+        changed = []
+        for k, item in enumerate(items):
+            own = list(item)
+            if k % 3:
+                own[rng.randrange(words) if words >= 60 else rng.choice((0, words - 1))] = "altered"
+            changed.append(prose(k, 300) + " " + " ".join(own) + " " + prose(k + 1, 300))
+        found = {(r, i) for r, i, _ in decontamination.Items(list(range(60)), [" ".join(x) for x in items]).search(pa.array(changed))}
+        share = [len(a & b) / len(a) for x, y in zip(items, changed) for a, b in [(decontamination.word_tuples(" ".join(x)), decontamination.word_tuples(y))]]
+        want = [k for k in range(60) if share[k] >= 0.8]
+        assert len(want) >= 40 and sum((k, k) in found for k in want) >= 0.97 * len(want)
+
+
 def test_items_in_blocks_and_odd_items(spark):
     items = spark.createDataFrame([(1, prose(1, 20)), (2, prose(2, 9)), (3, None), (4, ""), (5, "only four words here"), (1, prose(1, 20))], "item_id long, text string")
     docs = spark.createDataFrame([(1, prose(1, 20)), (2, "x " + prose(2, 9)), (3, "say only four words here now"), (4, None), (5, prose(7, 50)), (5, prose(7, 50))], "doc_id long, text string")
