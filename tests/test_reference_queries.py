@@ -22,5 +22,5 @@ def test_matches_sql(spark, db, name):
     df = catalog.queries()[name](spark, DATA)
     cols = sorted(df.columns)
     got = sorted(map(tuple, df.select(*cols).collect()), key=repr)
-    want = sorted(db.sql(f"select {','.join(cols)} from ({ORACLES[name]})").fetchall(), key=repr)
+    want = sorted(db.sql("select " + ", ".join(f'"{c}"' for c in cols) + f" from ({ORACLES[name]})").fetchall(), key=repr)
     assert got == want
