@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PTS = "pts AS (SELECT p_partkey AS id, p_retailprice AS x, p_size * 10.0::DOUBLE AS y FROM part)"
+SPARSE = "sup AS (SELECT s_suppkey AS id, s_acctbal / 100 AS x, s_nationkey * 4.0::DOUBLE AS y FROM supplier)"
 SLAB = "locs AS (SELECT l_returnflag AS grp, l_orderkey * 10 + l_linenumber AS source_index, l_quantity AS x, l_discount * 1000 AS y, l_tax * 1000 AS z FROM lineitem)"
 MOVIE = "movie AS (SELECT user_id AS grp, floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 60)::BIGINT AS frame, value AS x, event_id FROM events)"
 SAMPLES = "samples AS (SELECT o_orderkey AS axon, c_custkey AS animal, c_mktsegment AS grp, o_totalprice AS value FROM orders JOIN customer ON o_custkey = c_custkey)"

@@ -35,7 +35,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete stored tables that no later table is computed from."""
+    for df in tables:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +58,11 @@ def plane_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").selectExpr("p_partkey as id", "p_retailprice as x", "p_size * 10.0D as y")
 
 
+def sparse_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as a few points of a plane: id, x, y."""
+    return read(spark, sf_dir, "supplier").selectExpr("s_suppkey as id", "s_acctbal / 100 as x", "s_nationkey * 4.0D as y")
+
+
 def slab_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as points of groups: grp, source_index, x, y, z."""
     return read(spark, sf_dir, "lineitem").selectExpr("l_returnflag as grp", "l_orderkey * 10 + l_linenumber as source_index", "l_quantity as x", "l_discount * 1000 as y", "l_tax * 1000 as z")
