@@ -15,8 +15,8 @@ from ..sources.tables import discard, stored
 
 #: Fixed values of the model: smallest variance that is added, least weight of a dominant component, points of the grid of the main peak.
 FLOOR, DOMINANT, GRID = 1e-6, 0.05, 4096
-#: Rounds that go into one job.
-ROUNDS = 4
+#: Values that count.
+COUNTED = "grp is not null and z is not null and not isnan(z) and abs(z) < double('infinity')"
 
 
 def _start(values: DataFrame, counts: list[int]) -> DataFrame:
@@ -39,22 +39,22 @@ def _log_density(j: int, z: Column) -> Column:
 
 
 def _round(values: DataFrame, fits: DataFrame, most: int) -> DataFrame:
-    """One round: the new fits with ``loglik``, the log-likelihood of the ones before."""
-    rows = values.join(fits.drop("n", "loglik", "last"), "grp")
-    logs = rows.select("grp", "k", "z", F.col("n").alias("c"), *(_log_density(j, F.col("z")).alias(f"l{j}") for j in range(most)), *(F.col(f"m{j}").alias(f"o{j}") for j in range(most)))
+    """One round: the new fits with ``loglik``, the log-likelihood of the ones before, and ``last``, theirs."""
+    rows = values.join(fits.drop("n").withColumnRenamed("loglik", "last"), "grp")
+    logs = rows.select("grp", "k", "z", F.col("n").alias("c"), "last", *(_log_density(j, F.col("z")).alias(f"l{j}") for j in range(most)), *(F.col(f"m{j}").alias(f"o{j}") for j in range(most)))
     logs = logs.withColumn("top", F.greatest(*(f"l{j}" for j in range(most))) if most > 1 else F.col("l0"))
     terms = logs.select("*", *(F.coalesce(F.exp(F.col(f"l{j}") - F.col("top")), F.lit(0.0)).alias(f"e{j}") for j in range(most)))
     terms = terms.withColumn("whole", sum((F.col(f"e{j}") for j in range(1, most)), F.col("e0")))
     share = lambda j: F.col("c") * F.col(f"e{j}") / F.col("whole")
     away = lambda j: F.col("z") - F.col(f"o{j}")  # noqa: E731  about the old mean, which loses no digits
     sums = [x for j in range(most) for x in (F.sum(share(j)).alias(f"r{j}"), F.sum(share(j) * away(j)).alias(f"x{j}"), F.sum(share(j) * away(j) * away(j)).alias(f"xx{j}"), F.first(f"o{j}").alias(f"o{j}"))]
-    got = terms.groupBy("grp", "k").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("top") + F.log("whole") - 0.9189385332046727)).alias("loglik"), *sums)
+    got = terms.groupBy("grp", "k").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("top") + F.log("whole") - 0.9189385332046727)).alias("loglik"), F.first("last").alias("last"), *sums)
     new = []
     for j in range(most):
         r, shift = F.col(f"r{j}"), F.col(f"x{j}") / F.col(f"r{j}")
         alive = r > 1e-10
         new += [F.when(alive, r / F.col("n")).otherwise(0.0).alias(f"w{j}"), F.when(alive, F.col(f"o{j}") + shift).otherwise(F.col(f"o{j}")).alias(f"m{j}"), F.when(alive, F.sqrt(F.greatest(F.col(f"xx{j}") / r - shift * shift, F.lit(0.0)) + FLOOR)).otherwise(1.0).alias(f"s{j}")]
-    return got.select("grp", "k", "n", "loglik", *new)
+    return got.select("grp", "k", "n", "loglik", "last", *new)
 
 
 def fit(values: DataFrame, counts: list[int], tolerance: float = 1e-9, rounds: int = 200) -> DataFrame:
@@ -67,36 +67,28 @@ def fit(values: DataFrame, counts: list[int], tolerance: float = 1e-9, rounds: i
     group of any size is summed up within its tasks.
     """
     most = max(counts)
-    clean = values.where("grp is not null and z is not null and not isnan(z) and abs(z) < double('infinity')")
-    summed = stored(clean.groupBy("grp", "z").agg(F.count("*").alias("n")), "mixture-values")
+    summed = stored(values.where(COUNTED).groupBy("grp", "z").agg(F.count("*").alias("n")), "mixture-values")
     columns = ["grp", "k", "n", "loglik", *(f"{c}{j}" for j in range(most) for c in "wms")]
-    open_fits = stored(_start(summed, counts).withColumn("loglik", F.lit(None).cast("double")).select(*columns), "mixture-fits")
-    parts, done = [], 0
-    while True:
-        left = rounds - done
-        steps = max(1, min(ROUNDS, left))
-        now = open_fits
-        for _ in range(steps):
-            now = _round(summed.join(now.select("grp").distinct(), "grp", "left_semi") if done else summed, now, most)
-        now = now.select(*columns)
-        done += steps
-        # Likelihood before and after the last round of the job.
-        after = stored(_round(summed, now, most).select("grp", "k", F.col("loglik").alias("after")), "likelihoods")
-        now = stored(now, "mixture-fits")
-        judged = now.join(after, ["grp", "k"]).withColumn("converged", (F.col("after") - F.col("loglik")) / F.col("n") < tolerance).withColumn("rounds", F.lit(done))
-        ended = stored(judged.where(F.col("converged") | F.lit(left - steps <= 0)), "ended-fits")
-        parts.append(ended)
-        old, open_fits = open_fits, stored(now.join(ended.select("grp", "k"), ["grp", "k"], "left_anti").select(*columns), "mixture-fits")
-        discard(old, after, now)
-        if left - steps <= 0 or not open_fits.limit(1).count():
+    open_fits = _start(summed, counts).withColumn("loglik", F.lit(None).cast("double")).select(*columns)
+    ended, tables = None, [stored(open_fits, "mixture-fits")]
+    open_fits = tables[0]
+    for done in range(1, rounds + 1):
+        now = _round(summed, open_fits, most)
+        # The likelihood is that of the fit before, so its rise is one round old.
+        converged = F.coalesce((F.col("loglik") - F.col("last")) / F.col("n") < tolerance, F.lit(False))
+        tables.append(stored(now.select(*columns, converged.alias("converged"), F.lit(done).alias("rounds")), "mixture-fits"))
+        over = F.col("converged") | F.lit(done == rounds)
+        found = tables[-1].where(over)
+        ended = found if ended is None else ended.unionByName(found)
+        open_fits = tables[-1].where(~over).select(*columns)
+        if not open_fits.limit(1).count():
             break
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    final = out.withColumn("loglik", F.col("after")).withColumn("bic", -2 * F.col("after") + (3 * F.col("k") - 1) * F.log("n"))
-    found = stored(final.select(*columns[:4], "bic", "rounds", "converged", *columns[4:]), "mixtures")
-    discard(summed, open_fits, *parts)
-    return found
+    ended = stored(ended, "mixture-fits")
+    last = _round(summed, ended.select(*columns), most).select("grp", "k", F.col("loglik").alias("final"))
+    final = ended.join(last, ["grp", "k"]).withColumn("loglik", F.col("final")).withColumn("bic", -2 * F.col("final") + (3 * F.col("k") - 1) * F.log("n"))
+    out = stored(final.select(*columns[:4], "bic", "rounds", "converged", *columns[4:]), "mixtures")
+    discard(summed, ended, *tables)
+    return out
 
 
 def best_by_bic(fits: DataFrame) -> DataFrame:
@@ -128,7 +120,7 @@ def density(fits: DataFrame, at: DataFrame) -> DataFrame:
 
 def main_peaks(fits: DataFrame, values: DataFrame, parts: DataFrame) -> DataFrame:
     """(grp, by_density, by_weight): where the mixture is densest on GRID points between the least and the largest value, and the mean of the heaviest component."""
-    ends = values.where("z is not null and not isnan(z)").groupBy("grp").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
+    ends = values.where(COUNTED).groupBy("grp").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
     grid = ends.select("grp", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("i")).select("grp", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (GRID - 1)).alias("z"))
     dense = density(fits, grid).groupBy("grp").agg(F.min(F.struct((-F.col("density")).alias("d"), "z")).alias("best")).select("grp", F.col("best.z").alias("by_density"))
     heavy = parts.groupBy("grp").agg(F.min(F.struct((-F.col("weight")).alias("w"), "mean")).alias("best")).select("grp", F.col("best.mean").alias("by_weight"))

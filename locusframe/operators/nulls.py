@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import discard, stored
-from .statistics import in_ranges, running
+from .statistics import correlation, in_ranges, running
 
 
 def placed(rows: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
@@ -58,14 +58,14 @@ def mark_permutation(marks: DataFrame, replicates: int, seed: int, least: int =
     """
     clean = marks.where("grp is not null and a is not null and b is not null and not isnan(a) and not isnan(b)").select("grp", "key", "a", "b")
     ranked = average_rank(average_rank(clean, ["grp"], "a", "key", "ra"), ["grp"], "b", "key", "rb")
-    mean = ranked.groupBy("grp").agg(F.avg("ra").alias("ma"), F.avg("rb").alias("mb"), F.count("*").alias("n"), F.var_pop("ra").alias("va"), F.var_pop("rb").alias("vb"), F.corr("ra", "rb").alias("rho"))
+    mean = ranked.groupBy("grp").agg(F.avg("ra").alias("ma"), F.avg("rb").alias("mb"), F.count("*").alias("n"), F.var_pop("ra").alias("va"), F.var_pop("rb").alias("vb"), correlation("ra", "rb").alias("rho"))
     moved = permuted(ranked, "ra", replicates, seed).join(ranked.select("grp", "key", "rb"), ["grp", "key"])
     sums = moved.groupBy("grp", "replicate").agg(F.sum(F.col("moved") * F.col("rb")).alias("s"))
-    each = sums.join(mean, "grp").withColumn("r", (F.col("s") / F.col("n") - F.col("ma") * F.col("mb")) / F.sqrt(F.col("va") * F.col("vb")))
+    each = sums.join(mean, "grp").withColumn("r", F.try_divide(F.col("s") / F.col("n") - F.col("ma") * F.col("mb"), F.sqrt(F.col("va") * F.col("vb"))))
     far = F.abs("r") >= F.abs("rho") - 1e-12
     one = each.groupBy("grp").agg(F.avg("r").alias("centre"), F.stddev_samp("r").alias("sd"), F.count(F.when(far, 1)).alias("far"))
     fine = (F.col("n") >= least) & (F.col("va") > 0) & (F.col("vb") > 0)
-    found = mean.join(one, "grp").select("grp", "n", F.when(fine, F.col("rho")).alias("rho"), F.when(fine & (F.col("sd") > 0), (F.col("rho") - F.col("centre")) / F.col("sd")).alias("z"), F.when(fine, (F.col("far") + 1) / (replicates + 1)).alias("p"))
+    found = mean.join(one, "grp").select("grp", "n", F.when(fine, F.col("rho")).alias("rho"), F.when(fine & (F.col("sd") > 0), F.try_divide(F.col("rho") - F.col("centre"), F.col("sd"))).alias("z"), F.when(fine, (F.col("far") + 1) / (replicates + 1)).alias("p"))
     return found
 
 

@@ -64,10 +64,15 @@ def average_ranks(values: DataFrame, column: str) -> Column:
     return F.expr(f"rank() over (partition by grp order by {column}) + (count(*) over (partition by grp, {column}) - 1) / 2.0D")
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation as an aggregate; null where either side has no spread, which ``corr`` refuses."""
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
 def spearman(pairs: DataFrame) -> DataFrame:
     """Rank correlation of pairs(grp, a, b) of each group with four pairs or more."""
     ranked = pairs.select("grp", average_ranks(pairs, "a").alias("ra"), average_ranks(pairs, "b").alias("rb"))
-    return ranked.groupBy("grp").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho")).where("n >= 4")
+    return ranked.groupBy("grp").agg(F.count("*").alias("n"), correlation("ra", "rb").alias("rho")).where("n >= 4")
 
 
 def holm(tests: DataFrame) -> DataFrame:
