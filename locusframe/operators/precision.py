@@ -121,7 +121,12 @@ def nena(histogram: DataFrame, reach: float) -> DataFrame:
     return histogram.groupBy("grp").applyInPandas(one, f"grp {kind}, n_pairs long, precision double, low double, high double, share double, nearby boolean, peak boolean")
 
 
+def next_frame_distances(locs: DataFrame, reach: float) -> DataFrame:
+    """(grp, d) of localizations ``locs(id, grp, frame, x, y)``: to the nearest one of the next frame, if that is within ``reach``; ids tell rows of a group apart."""
+    near = next_frame(locs.withColumn("id", F.struct("grp", "id")), reach)
+    return near.select(F.col("id.grp").alias("grp"), F.col("d1").alias("d"))
+
+
 def movie_precision(locs: DataFrame, reach: float) -> DataFrame:
-    """``nena`` of localizations ``locs(id, grp, frame, x, y)``: the nearest one of the next frame within ``reach`` is the neighbour."""
-    near = next_frame(locs, reach)
-    return nena(distance_histogram(locs.select("id", "grp").join(near, "id").select("grp", F.col("d1").alias("d")), reach), reach)
+    """``nena`` of the next-frame distances of each group of ``locs(id, grp, frame, x, y)``."""
+    return nena(distance_histogram(next_frame_distances(locs, reach), reach), reach)

@@ -11,20 +11,36 @@ from pyspark.sql import functions as F
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull of an (n, 2) array, counter-clockwise; all distinct points if they are fewer than three."""
-    order = np.unique(points, axis=0)
-    if len(order) < 3:
-        return order
+    """Corners of the convex hull of an (n, 2) array, counter-clockwise from the least; the ends of a line; a single point.
 
-    def half(rows: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for p in rows:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    return np.array(half(order) + half(order[::-1]))
+    Between two corners the point farthest outside their chord is a corner as
+    well, and splits what is outside in two.
+    """
+    points = points[np.isfinite(points).all(axis=1)]
+    if len(points) < 2:
+        return points
+    least, most = (points[np.lexsort((k * points[:, 1], k * points[:, 0]))[0]] for k in (1, -1))
+    if (least == most).all():
+        return least[None]
+    corners, chords = [], [(most, least, points), (least, most, points)]
+    while chords:
+        a, b, near = chords.pop()
+        way, rel = b - a, near - a
+        side = way[0] * rel[:, 1] - way[1] * rel[:, 0]
+        outside = side < 0
+        if not outside.any():
+            corners.append(a)
+            continue
+        near, side, along = near[outside], side[outside], (rel @ way)[outside]
+        far = near[np.lexsort((along, side))[0]]
+        chords += [(far, b, near), (a, far, near)]
+    return np.array(corners)
+
+
+def polygon_area(corners: np.ndarray) -> float:
+    """Area of a polygon as the triangles that its sides make with the first corner."""
+    rel = corners[1:] - corners[0]
+    return abs(sum(float(p[0] * q[1] - p[1] * q[0]) for p, q in zip(rel[:-1], rel[1:], strict=True))) / 2
 
 
 def hull_corners(points: DataFrame) -> DataFrame:
@@ -54,10 +70,7 @@ def cluster_areas(points: DataFrame) -> DataFrame:
     """(label, n, hull_area, r_eff) of each cluster: area of the convex hull, 0 for fewer than three points or a line, and the radius of a disc of that area."""
 
     def area(frame: pd.DataFrame) -> pd.DataFrame:
-        hull = convex_hull(frame[["x", "y"]].to_numpy())
-        x, y = (hull - hull[0]).T
-        a = float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2) if len(hull) > 2 else 0.0
-        return pd.DataFrame({"label": frame["label"].iloc[:1], "hull_area": [a]})
+        return pd.DataFrame({"label": frame["label"].iloc[:1], "hull_area": [polygon_area(convex_hull(frame[["x", "y"]].to_numpy()))]})
 
     kind = points.schema["label"].dataType.simpleString()
     areas = hull_corners(points).groupBy("label").applyInPandas(area, f"label {kind}, hull_area double")

@@ -222,7 +222,14 @@ count(verdict) FILTER (NOT is_reference) AS others, count(DISTINCT verdict) FILT
 conclusion AS (SELECT axon, readout, kind, rv AS reference_value, n_methods, n_values, lo AS min_value, a.m AS min_method, hi AS max_value, mm AS max_method, hi - lo AS "range", CASE WHEN rv <> 0 THEN (hi - lo) / abs(rv) END AS relative_range, CASE WHEN kind <> 'p_value' THEN CASE WHEN rv <> 0 THEN (hi - lo) / abs(rv) END > {SPREAD} END AS large_spread,
 CASE WHEN kind <> 'p_value' THEN 'spread only' WHEN rd IS NULL OR others = 0 THEN 'undetermined' WHEN kinds > 1 OR od <> rd THEN 'yes' ELSE 'no' END AS depends FROM agg LEFT JOIN top USING (axon, readout))"""
 _C, _S = 0.8660254037844387, 0.49999999999999994
+_CROSS = "(b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)"
+_ALONG = "(b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y)"
+#: Only the lowest and highest point at each x can be corners; a side is a pair that all others are left of, or between.
+_HULLS = f"""{CLUSTERED}, used AS (SELECT label, x, y FROM clus WHERE label >= 0 AND x + y < 2 * label + 10), ends AS (SELECT label, x, min(y) AS lo, max(y) AS hi FROM used GROUP BY ALL), p AS (SELECT DISTINCT label, x, unnest([lo, hi]) AS y FROM ends),
+sides AS (SELECT a.label, a.x * b.y - b.x * a.y AS twice FROM p a JOIN p b ON a.label = b.label AND (a.x <> b.x OR a.y <> b.y) JOIN p c ON c.label = a.label GROUP BY a.label, a.x, a.y, b.x, b.y HAVING bool_and({_CROSS} > 1e-7 OR (abs({_CROSS}) <= 1e-7 AND {_ALONG} BETWEEN -1e-7 AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + 1e-7))),
+areas AS (SELECT label, abs(sum(twice)) / 2 AS area FROM sides GROUP BY label)"""
 ORACLES = {
+    "cluster_areas": f"WITH {_HULLS} SELECT label, count(*) AS n, round(coalesce(any_value(area), 0), 6) AS hull_area, round(sqrt(coalesce(any_value(area), 0) / pi()), 6) AS r_eff FROM used LEFT JOIN areas USING (label) GROUP BY label",
     "cluster_axes": f"""WITH {CLUSTERED}, o AS (SELECT label, count(*) AS n, avg(x) AS cx, avg(y) AS cy, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS vxy FROM clus WHERE label >= 0 GROUP BY label), a AS (SELECT *, sqrt((vx + vy) / 2 + sqrt(pow(vx - vy, 2) / 4 + vxy * vxy)) AS major, sqrt(greatest((vx + vy) / 2 - sqrt(pow(vx - vy, 2) / 4 + vxy * vxy), 0)) AS minor FROM o)
 SELECT label, n, round(cx, 5) AS cx, round(cy, 5) AS cy, round(sqrt(vx), 5) AS sd_x, round(sqrt(vy), 5) AS sd_y, round(major, 5) AS major, round(minor, 5) AS minor, round(CASE WHEN minor > 0 THEN major / minor END, 5) AS elongation FROM a""",
     "axial_medians": f"WITH {CLUSTERED} SELECT label, count(*) AS n, round(quantile_cont(z, 0.25), 6) AS q1, round(quantile_cont(z, 0.5), 6) AS median, round(quantile_cont(z, 0.75), 6) AS q3 FROM clus WHERE label >= 0 GROUP BY label",
