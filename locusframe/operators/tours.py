@@ -35,15 +35,14 @@ def shortest_tour(d: np.ndarray) -> list[int]:
 
 def improved(d: np.ndarray, tour: np.ndarray) -> np.ndarray:
     """The tour after turning around, time and again, the stretch whose ends save most, until none does."""
-    n = len(tour)
     slack = 1e-9 * max(float(d.max()), 1e-300)
     while True:
         here, there = tour, np.roll(tour, -1)
         now = d[here, there]
         # Edge i and edge j are replaced by (i, j) and (i + 1, j + 1).
-        gain = now[:, None] + now[None, :] - d[np.ix_(here, here)] - d[np.ix_(there, there)]
-        i, j = np.unravel_index(int(np.argmax(np.triu(gain, 2))), gain.shape)
-        if gain[i, j] <= slack or (i == 0 and j == n - 1):
+        gain = np.triu(now[:, None] + now[None, :] - d[np.ix_(here, here)] - d[np.ix_(there, there)], 2)
+        i, j = np.unravel_index(int(np.argmax(gain)), gain.shape)
+        if gain[i, j] <= slack:
             return tour
         tour = np.concatenate([tour[: i + 1], tour[i + 1 : j + 1][::-1], tour[j + 1 :]])
 
