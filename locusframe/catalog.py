@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "load_points"
-MODULES = ("locusframe.plans.geometry_and_graphs", "locusframe.plans.rules_and_texts", "locusframe.plans.shapes_and_summaries", "locusframe.plans.space", "locusframe.plans.time_and_circle", "locusframe.plans.results", "locusframe.plans.contours_and_decisions", "locusframe.plans.trees_and_fits")
+MODULES = ("locusframe.plans.geometry_and_graphs", "locusframe.plans.rules_and_texts", "locusframe.plans.shapes_and_summaries", "locusframe.plans.space", "locusframe.plans.time_and_circle", "locusframe.plans.results", "locusframe.plans.contours_and_decisions", "locusframe.plans.trees_and_fits", "locusframe.plans.cells_and_tours")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

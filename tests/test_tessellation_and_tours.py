@@ -6,6 +6,10 @@ import numpy as np
 import pytest
 
 from locusframe.operators import tessellation, tours
+from locusframe.plans import cells_and_tours
+from locusframe.sources.tables import sparse_points
+
+from conftest import DATA
 
 POINTS = "id long, x double, y double"
 WINDOW = (0.0, 0.0, 40.0, 30.0)
@@ -96,3 +100,12 @@ def test_improvement_leaves_no_crossing():
         for i, j in itertools.combinations(range(14), 2):
             a, b, c, e = tour[i], tour[(i + 1) % 14], tour[j], tour[(j + 1) % 14]
             assert d[a, b] + d[c, e] <= d[a, c] + d[b, e] + 1e-6
+
+
+def test_queries_cover_the_window_and_all_points(spark):
+    cells = cells_and_tours.voronoi_cells(spark, DATA).collect()
+    points = sparse_points(spark, DATA)
+    x0, y0, x1, y1 = cells_and_tours.WINDOW
+    assert sum(r.n for r in cells) == points.count() and math.isclose(sum(r.area for r in cells), (x1 - x0) * (y1 - y0), abs_tol=1e-3)
+    labels = cells_and_tours.voronoi_clusters(spark, DATA).collect()
+    assert len(labels) == points.count() and {r.label for r in labels} >= {-1}
