@@ -146,13 +146,21 @@ def compare_cells(cells: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarra
             for c in range(to - k):
                 low, high = cuts[k + c] - cuts[k], cuts[k + c + 1] - cuts[k]
                 left, right = np.flatnonzero(part[low:high] & 1), np.flatnonzero(part[low:high] & 2)
-                own = comp[low:high]
-                if len(left) and len(right) and len(left) * len(right) <= PAIRS:
+                own, sizes = comp[low:high], many[low:high]
+                # Sets whose sizes alone rule a pair out, or that are in one component, need no look at their tokens.
+                large = np.maximum.outer(sizes[left], sizes[right])
+                may = (np.minimum.outer(sizes[left], sizes[right]) >= (similarity - 1e-12) * large) & (own[left][:, None] != own[right])
+                left, right = left[may.any(axis=1)], right[may.any(axis=0)]
+                if len(left) and len(left) * len(right) <= PAIRS:
                     some_left.append(np.repeat(low + left, len(right)))
                     some_right.append(np.tile(low + right, len(left)))
-                elif len(left) and len(right) and (own != own[0]).any():
-                    own_tokens = slice(first[c], first[c + 1])
-                    close = close_sets(left, right, row[own_tokens] - low, token[own_tokens], many[low:high], similarity)
+                elif len(left):
+                    asked = np.zeros(high - low, bool)
+                    asked[left] = asked[right] = True
+                    some_row, some_token = row[first[c] : first[c + 1]] - low, token[first[c] : first[c + 1]]
+                    if not asked.all():
+                        some_row, some_token = some_row[asked[some_row]], some_token[asked[some_row]]
+                    close = close_sets(left, right, some_row, some_token, sizes, similarity)
                     x, y = np.nonzero(close & (own[left][:, None] != own[right][None, :]))
                     keep = _forest(own[left[x]], own[right[y]])
                     a.append(node[low + left[x[keep]]])
