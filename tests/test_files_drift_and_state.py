@@ -71,6 +71,39 @@ def test_planted_drift_is_found(spark):
     assert (got["flat"].range, got["flat"].acf, got["flat"].p, got["flat"].coherent) == (0.0, 0.0, 1.0, False) and "short" not in got
 
 
+def test_planted_drift_in_the_plane(spark):
+    rng = random.Random(11)
+    places = [(rng.uniform(0, 600), rng.uniform(0, 600)) for _ in range(60)]
+    move = lambda k: (6.0 * k, 24 * math.sin(k / 3))
+    rows = []
+    for frame in range(8000):
+        (x, y), (a, b) = rng.choice(places), move(frame // 800)
+        rows.append(("drift", frame, x + a + rng.gauss(0, 3), y + b + rng.gauss(0, 3)))
+        x, y = rng.choice(places)
+        rows.append(("still", frame, x + rng.gauss(0, 3), y + rng.gauss(0, 3)))
+    rows += [(None, 1, 1.0, 1.0), ("still", 5, float("nan"), 1.0), ("still", 5, 1.0, float("inf")), ("still", None, 1.0, 1.0), ("short", 1, 1.0, 2.0)]
+    points = spark.createDataFrame(rows, "grp string, frame long, x double, y double")
+    got = {(r.grp, r.segment): r for r in drift.drift_curve(points, 10, 5.0, 60.0).collect()}
+    assert len(got) == 20 and all(r.n == 800 for r in got.values())
+    first = got["drift", 0]
+    for k in range(10):
+        a, b = move(k)
+        assert abs(got["drift", k].dx - first.dx - a) < 2.5 and abs(got["drift", k].dy - first.dy - b) < 2.5
+        assert abs(got["still", k].dx) < 2.5 and abs(got["still", k].dy) < 2.5
+    assert drift.drift_curve(points.limit(0), 10, 5.0, 60.0).count() == 0
+
+
+def test_lags_in_the_plane_against_all(spark):
+    rng = random.Random(2)
+    rows = [("g", s, rng.randrange(9), rng.randrange(-4, 5), rng.randrange(1, 60)) for s in range(4) for _ in range(12)]
+    bins = spark.createDataFrame(rows, "grp string, segment int, bx long, by long, n long").groupBy("grp", "segment", "bx", "by").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    counts = {(r.segment, r.bx, r.by): r.n for r in bins.collect()}
+    got = {r.segment: (r.lag_x, r.lag_y) for r in drift.plane_shifts(bins, 2.0, 6.0).collect()}
+    for s in range(4):
+        score = {(i, j): sum(n * m for (t, x, y), n in counts.items() if t == s for (u, a, b), m in counts.items() if u != s and (a - x, b - y) == (i, j)) for i in range(-3, 4) for j in range(-3, 4)}
+        assert got[s] == min(score, key=lambda k: (-score[k], k[0] ** 2 + k[1] ** 2, k))
+
+
 def test_shifts_against_all_lags(spark):
     rng = random.Random(5)
     rows = [("g", rng.randrange(400), rng.choice([20.0, 50.0, 51.0, 120.0]) + rng.gauss(0, 9)) for _ in range(900)]
