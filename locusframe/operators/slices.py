@@ -51,10 +51,12 @@ def edge_truncation(points: DataFrame, width: float, share: float, least: int) -
     """(grp, side, edge, n, share, cut): whether an end of the z range is a cut and not a tail.
 
     It is where the bin at the edge has ``least`` points and ``share`` of the
-    fullest bin, bins counted from the lowest z.
+    fullest bin, bins counted from the lowest z. Rows with a null, NaN or
+    infinite z don't count.
     """
-    ends = points.groupBy("grp").agg(F.min("z").alias("low"), F.max("z").alias("high"))
-    placed = points.join(F.broadcast(ends), "grp")
+    finite = points.where("abs(z) < double('infinity')")
+    ends = finite.groupBy("grp").agg(F.min("z").alias("low"), F.max("z").alias("high"))
+    placed = finite.join(ends, "grp")
     last = F.greatest(F.ceil((F.col("high") - F.col("low")) / width) - 1, F.lit(0))
     bins = placed.groupBy("grp", F.least(F.floor((F.col("z") - F.col("low")) / width), last).alias("bin")).agg(F.count("*").alias("n")).groupBy("grp").agg(F.max("n").alias("most"))
     edges = placed.groupBy("grp").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.count(F.when(F.col("z") < F.col("low") + width, 1)).alias("bottom"), F.count(F.when(F.col("z") > F.col("high") - width, 1)).alias("top"))
@@ -91,11 +93,13 @@ def arc_bin(s: Column, length: float, n_bins: int, origin: float = 0.0) -> Colum
 def otsu(values: DataFrame, bins: int = 256) -> DataFrame:
     """(grp, threshold): the cut of a histogram of ``values(grp, value)`` that parts it best; the middle of a flat stretch of best cuts.
 
-    Histograms are aggregated first, so the windows run over ``bins`` rows for each group.
+    Histograms are aggregated first, so the windows run over ``bins`` rows for
+    each group. Null, NaN and infinite values don't count.
     """
-    ends = values.groupBy("grp").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    finite = values.where("abs(value) < double('infinity')")
+    ends = finite.groupBy("grp").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     width = (F.col("high") - F.col("low")) / bins
-    placed = values.join(F.broadcast(ends), "grp").where("high > low").withColumn("bin", F.least(F.floor((F.col("value") - F.col("low")) / width), F.lit(bins - 1)))
+    placed = finite.join(ends, "grp").where("high > low").withColumn("bin", F.least(F.floor((F.col("value") - F.col("low")) / width), F.lit(bins - 1)))
     counts = placed.groupBy("grp", "bin").agg(F.count("*").alias("n"))
     grid = ends.where("high > low").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
     whole = grid.join(counts, ["grp", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("double")).withColumn("centre", F.col("low") + (F.col("bin") + 0.5) * width)

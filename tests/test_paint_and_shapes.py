@@ -94,3 +94,13 @@ def test_texts(spark):
 def test_angles_meet_over_the_origin(spark):
     a, b = spark.createDataFrame([("g", 1, 359.0), ("g", 2, 90.0), ("h", 3, 5.0)], "grp string, id long, turn double"), spark.createDataFrame([("g", 2.0), ("g", 200.0)], "grp string, turn double")
     assert sorted(map(tuple, labels.nearest_angle(a, b).collect())) == [("g", 1, 3.0), ("g", 2, 88.0)]
+
+
+def test_values_that_are_no_numbers_do_not_count(spark):
+    rng = random.Random(8)
+    rows = [(g, rng.gauss(10 * (i % 2), 2)) for g in (1, 2) for i in range(300)]
+    odd = [(1, float("nan")), (1, float("inf")), (2, float("-inf")), (2, None), (3, float("nan"))]
+    clean, mixed = (spark.createDataFrame(x, "grp int, value double") for x in (rows, rows + odd))
+    assert sorted(slices.otsu(mixed).collect()) == sorted(slices.otsu(clean).collect()) and slices.otsu(clean).count() == 2
+    cut = lambda df: sorted(slices.edge_truncation(df.withColumnRenamed("value", "z"), 1.5, 0.3, 5).collect())
+    assert cut(mixed) == cut(clean) and len(cut(clean)) == 4
