@@ -131,7 +131,7 @@ def autocorrelation(profile: DataFrame) -> DataFrame:
     whole = z.groupBy("grp").agg(F.sum(F.col("z") * F.col("z")).alias("whole")).where("whole > 0")
     later = z.select("grp", F.col("bin").alias("bin2"), F.col("z").alias("z2"))
     sums = z.join(later, "grp").where("bin2 >= bin").groupBy("grp", (F.col("bin2") - F.col("bin")).alias("lag")).agg(F.sum(F.col("z") * F.col("z2")).alias("s"))
-    return sums.join(F.broadcast(whole), "grp").select("grp", "lag", (F.col("s") / F.col("whole")).alias("r"))
+    return sums.join(whole, "grp").select("grp", "lag", (F.col("s") / F.col("whole")).alias("r"))
 
 
 def period_amplitude(correlation: DataFrame, low: float, high: float, step: float) -> DataFrame:
@@ -140,5 +140,5 @@ def period_amplitude(correlation: DataFrame, low: float, high: float, step: floa
     inside = F.col("lag") * step
     peaks = near.where(inside.between(low, high) & (F.col("lag") > 0) & (F.col("r") > F.col("before")) & (F.col("r") > F.col("after")))
     best = peaks.groupBy("grp").agg(F.max(F.struct("r", (-F.col("lag")).alias("minus"))).alias("best")).select("grp", F.col("best.r").alias("peak"), (-F.col("best.minus")).alias("at"))
-    sides = correlation.join(F.broadcast(best), "grp").groupBy("grp", "peak", "at").agg(F.min(F.when(F.col("lag") < F.col("at"), F.col("r"))).alias("first"), F.min(F.when((F.col("lag") > F.col("at")) & (F.col("lag") <= 2 * F.col("at")), F.col("r"))).alias("second"))
+    sides = correlation.join(best, "grp").groupBy("grp", "peak", "at").agg(F.min(F.when(F.col("lag") < F.col("at"), F.col("r"))).alias("first"), F.min(F.when((F.col("lag") > F.col("at")) & (F.col("lag") <= 2 * F.col("at")), F.col("r"))).alias("second"))
     return sides.where("first is not null and second is not null").select("grp", (F.col("at") * step).alias("period"), (F.col("peak") - (F.col("first") + F.col("second")) / 2).alias("amplitude"))

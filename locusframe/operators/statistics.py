@@ -41,7 +41,7 @@ def intraclass_correlation(values: DataFrame) -> DataFrame:
     per = values.groupBy("grp", "animal").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("v"))
     grand = per.groupBy("grp").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))
     off = F.col("m") - F.col("grand")
-    top = per.join(F.broadcast(grand), "grp").groupBy("grp").agg(
+    top = per.join(grand, "grp").groupBy("grp").agg(
         F.count("*").alias("k"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum((F.col("n") - 1) * F.col("v")).alias("within"), F.sum(F.col("n") * off * off).alias("between"),
     )
     n0 = (F.col("total") - F.col("n2") / F.col("total")) / (F.col("k") - 1)

@@ -75,7 +75,7 @@ def period_amplitudes(spark: SparkSession, d: str) -> DataFrame:
 def registered_channels(spark: SparkSession, d: str) -> DataFrame:
     """Channel B moved by the offset of each group, and the seconds of its frames."""
     points = clustered_points(spark, d)
-    moved = points.join(F.broadcast(geometry.registration(points.select("grp", (F.col("x") / 10).alias("dx"), (F.col("y") / 10).alias("dy")))), "grp")
+    moved = points.join(geometry.registration(points.select("grp", (F.col("x") / 10).alias("dx"), (F.col("y") / 10).alias("dy"))), "grp")
     return rounded(moved.groupBy("grp").agg(F.avg(F.col("x") + F.col("dx")).alias("x"), F.avg(F.col("y") + F.col("dy")).alias("y"), F.max(paint.seconds(F.col("frame"), 0.05)).alias("seconds")), 5)
 
 
