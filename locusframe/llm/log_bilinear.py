@@ -2,10 +2,10 @@
 
 The model predicts the next token's class from the classes of the tokens
 before it: the most frequent words, the end of the text, and classes of all
-other words told by their endings. It is trained on every token of the training
-documents: each partition makes a pass from the same parameters, and the results
-are averaged by their tokens after each pass. Batched matrix products over the
-distinct contexts of a batch give normalised log-probabilities. Words of an
+other words told by their endings. It is trained once on every token of the training
+documents, whatever their number: each partition makes a pass from the same
+parameters, and the results are averaged by their tokens. Batched matrix products over
+the distinct contexts of a batch give normalised log-probabilities. Words of an
 ending share its probability by their smoothed corpus counts, so every text has
 a probability.
 """
@@ -31,9 +31,12 @@ DIMENSIONS = 16
 RARE = 1 << RARE_BITS
 #: Words whose counts every task holds, at most: those of at least the count that so many words reach. The counts of all others are joined.
 DICTIONARY, SLOT_BITS = 1 << 17, 19
-#: Passes over all training documents: one, and up to MOST of a small table until so many tokens are seen; partitions whose parameters one task adds up.
-MOST, SEEN, GROUP = 12, 2_000_000, 16
-NOISE, RATE, BATCH = 32, 0.6, 1024
+#: Partitions whose parameters one task adds up.
+GROUP = 16
+#: Noise words and tokens of a mini-batch, and Adagrad's rate and first squared gradient. They are the same for tables of any size.
+NOISE, BATCH, RATE, START = 64, 256, 0.1, 1e-5
+#: Bytes of text that a task trains on, and scores, at a time: more texts share more contexts.
+TRAINED, SCORED = 1 << 20, 4 << 20
 FOLDS, HELD = 7, 2
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -77,47 +80,59 @@ def begin(counts: np.ndarray, own: int, rng: np.random.Generator) -> tuple[LogBi
     return LogBilinear(own, r, c, q, np.log(unigram).astype(np.float32)), unigram
 
 
-def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """out[at] += rows, where places repeat."""
+def _row_sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places ``at``, and the sum of the rows of each."""
     order = np.argsort(at, kind="stable")
     own = at[order]
     first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    out[own[first]] += np.add.reduceat(rows[order], first, axis=0)
+    return own[first], np.add.reduceat(rows[order], first, axis=0)
+
+
+def _step(x: np.ndarray, s: np.ndarray, at: np.ndarray | slice, g: np.ndarray, rate: np.float32) -> None:
+    """Adagrad's step on the rows ``at`` alone, since those without a gradient stay."""
+    s[at] += g * g
+    x[at] += rate * g / np.sqrt(s[at])
+
+
+def squares(parameters: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums of squared gradients before the first step."""
+    return [np.full(x.shape, START, np.float32) for x in parameters]
 
 
 def descend(parameters: list[np.ndarray], sums: list[np.ndarray], target: np.ndarray, context: np.ndarray, unigram: np.ndarray, rng: np.random.Generator, noise: int = NOISE, rate: float = RATE) -> None:
     """Noise-contrastive estimation against the unigram distribution, in place (Adagrad, mini-batches that share noise)."""
     r, c, q, b = parameters
+    rate = np.float32(rate)
     log_noise = np.log(noise * unigram).astype(np.float32)
     bounds = np.cumsum(unigram)
-    target, context = target.astype(np.int16), context.astype(np.int16)
     order = rng.permutation(len(target))
-    for at in np.array_split(order, max(1, len(order) // BATCH)):
-        w, h = target[at], context[at]
-        z = np.minimum(np.searchsorted(bounds, rng.random(noise)), len(b) - 1)
-        vectors = [r[h[:, j]] for j in range(CONTEXT)]
-        hidden = sum(v * c[j] for j, v in enumerate(vectors))
+    target, context = target.astype(np.int16)[order], context.astype(np.int16)[order]
+    batches = max(1, len(order) // BATCH)
+    cuts = np.linspace(0, len(order), batches + 1).astype(np.int64).tolist()
+    drawn = np.minimum(np.searchsorted(bounds, rng.random((batches, noise))), len(b) - 1).astype(np.int16)
+    for k, z in enumerate(drawn):
+        w, h = target[cuts[k] : cuts[k + 1]], context[cuts[k] : cuts[k + 1]]
+        share = np.float32(1 / len(w))
+        vectors = r[h]
+        hidden = np.einsum("ijk,jk->ik", vectors, c)
         q_w, q_z = q[w], q[z]
-        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", hidden, q_w) + b[w] - log_noise[w], -30, 30)))  # 1 - P(data)
+        up = np.einsum("ij,ij->i", hidden, q_w) + b[w] - log_noise[w]
         down = hidden @ q_z.T
         down += b[z] - log_noise[z]
-        np.clip(down, -30, 30, out=down)
         np.negative(down, out=down)
-        np.exp(down, out=down)
-        down += 1
-        np.reciprocal(down, out=down)  # P(data) of noise
-        g_hidden = up[:, None] * q_w - down @ q_z
-        g_q, g_r, g_c = np.zeros_like(q), np.zeros_like(r), np.zeros_like(c)
-        _add_rows(g_q, w, up[:, None] * hidden)
-        _add_rows(g_q, z, -down.T @ hidden)
-        g_b = np.bincount(w, up, len(b)) - np.bincount(z, down.sum(axis=0), len(b))
-        for j in range(CONTEXT):
-            _add_rows(g_r, h[:, j], g_hidden * c[j])
-            g_c[j] = (g_hidden * vectors[j]).sum(axis=0)
-        for x, g, s in zip(parameters, (g_r, g_c, g_q, g_b), sums, strict=True):
-            g = (g / len(at)).astype(np.float32)
-            s += g * g
-            x += np.float32(rate) * g / np.sqrt(s)
+        for x in (up, down):
+            np.clip(x, -30, 30, out=x)
+            np.exp(x, out=x)
+            x += 1
+            np.divide(share, x, out=x)  # 1 - P(data) of tokens, P(data) of noise
+        g_hidden = up[:, None] * q_w
+        g_hidden -= down @ q_z
+        g_b = (np.bincount(w, up, len(b)) - np.bincount(z, down.sum(axis=0), len(b))).astype(np.float32)
+        g_c = np.einsum("ik,ijk->jk", g_hidden, vectors)
+        at_q, g_q = _row_sums(np.concatenate([w, z]), np.concatenate([up[:, None] * hidden, -down.T @ hidden]))
+        at_r, g_r = _row_sums(h.ravel(), (g_hidden[:, None, :] * c).reshape(-1, c.shape[1]))
+        for x, s, at, g in zip(parameters, sums, (at_r, slice(None), at_q, slice(None)), (g_r, g_c, g_q, g_b), strict=True):
+            _step(x, s, at, g, rate)
 
 
 def contexts_of(ids: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
@@ -139,7 +154,7 @@ def train(sequences: list[np.ndarray], own: int, epochs: int = 3, rare: int = 1,
     if len(target):
         first = np.cumsum([0, *map(len, sequences)])[:-1]
         context = contexts_of(target, first, own)
-        sums = [np.full(x.shape, 1e-2, np.float32) for x in model.parameters()]
+        sums = squares(model.parameters())
         for _ in range(epochs):
             descend(model.parameters(), sums, target, context, unigram, rng)
     return model
@@ -240,7 +255,7 @@ class Encoded:
 def one_pass(training: DataFrame, model: LogBilinear, dictionary: Dictionary, unigram: np.ndarray, number: int) -> LogBilinear:
     """Train on every token of ``training(text)``: a pass of each partition from ``model``, averaged by their tokens.
 
-    A task holds the parameters and the tokens of one MB of text (of one text,
+    ``number`` tells the draws of this pass from those of others. A task holds the parameters and the tokens of one MB of text (of one text,
     where that is longer). Parameters are added up in tasks of GROUP partitions
     each, in their order, and these sums likewise until GROUP are left.
     """
@@ -251,10 +266,10 @@ def one_pass(training: DataFrame, model: LogBilinear, dictionary: Dictionary, un
         part_id = TaskContext.get().partitionId()
         rng = np.random.default_rng([8, number, part_id])
         parameters = [x.copy() for x in model.parameters()]
-        sums = [np.full(x.shape, 1e-2, np.float32) for x in parameters]
+        sums = squares(parameters)
         n = 0
         for batch in batches:
-            for part in batches_of(batch, "text", 1 << 20):
+            for part in batches_of(batch, "text", TRAINED):
                 found = dictionary.encode(part.column("text"))
                 descend(parameters, sums, found.ids, contexts_of(found.ids, found.first, dictionary.own), unigram, rng)
                 n += len(found.ids)
@@ -291,11 +306,9 @@ def one_pass(training: DataFrame, model: LogBilinear, dictionary: Dictionary, un
 
 
 def fit(training: DataFrame, dictionary: Dictionary, counts: np.ndarray) -> LogBilinear:
-    """Train on all of ``training``; ``counts`` are its tokens of each class."""
+    """Train on every token of ``training`` once, however many there are; ``counts`` are its tokens of each class."""
     model, unigram = begin(counts, dictionary.own, np.random.default_rng(8))
-    for number in range(max(1, min(MOST, int(SEEN // max(1, counts.sum()))))):
-        model = one_pass(training, model, dictionary, unigram, number)
-    return model
+    return one_pass(training, model, dictionary, unigram, 0)
 
 
 def score_classes(model: LogBilinear, ids: np.ndarray, first: np.ndarray, block: int = 512) -> np.ndarray:
@@ -385,7 +398,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         names = ["row", "doc_id", "word", "n", "n_tokens", "n_known", "log_counts", "log_classes"]
         null = lambda k, t: pa.nulls(k, t)
         for batch in batches:
-            for part in batches_of(batch, "text", 1 << 20):
+            for part in batches_of(batch, "text", SCORED):
                 found = dictionary.encode(part.column("text"))
                 by_token = score_classes(model, found.ids, found.first) - shares[found.ids]
                 by_count = np.full(len(found.ids), np.log10(n_docs + 1))

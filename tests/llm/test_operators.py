@@ -255,6 +255,47 @@ def test_every_text_and_rare_word_trains(spark):
     assert table[0, b] > table[1, b]
 
 
+def test_training_does_not_switch_by_the_size_of_the_input(spark):
+    """The same texts and shares of classes give the same model, whatever the number of tokens the counts add up to."""
+    docs = spark.createDataFrame([(i, " ".join(random.Random(i).choices(WORDS, k=200))) for i in range(20)], "doc_id long, text string").coalesce(1)
+    fits = [log_bilinear.fit(docs, log_bilinear.Dictionary([], 0), np.full(1 + log_bilinear.RARE, c)) for c in (1e1, 1e3, 1e6)]
+    for other in fits[1:]:
+        assert all(np.allclose(x, y, atol=1e-5) for x, y in zip(fits[0].parameters(), other.parameters(), strict=True))
+
+
+def test_steps_of_training_against_plain_gradients():
+    """Two mini-batches of noise-contrastive estimation, token by token."""
+    rng = np.random.default_rng(3)
+    n, noise, rate = 2 * log_bilinear.BATCH, 5, 0.1
+    target, context = rng.integers(0, 9, n), rng.integers(0, 9, (n, log_bilinear.CONTEXT))
+    model, unigram = log_bilinear.begin(np.bincount(target, minlength=12).astype(float), 3, rng)
+    got = [x.copy() for x in model.parameters()]
+    log_bilinear.descend(got, log_bilinear.squares(got), target, context, unigram, np.random.default_rng(5), noise, rate)
+    want = [x.astype(float) for x in model.parameters()]
+    sums = [np.full(x.shape, log_bilinear.START) for x in want]
+    again = np.random.default_rng(5)
+    order = again.permutation(n)
+    drawn = np.minimum(np.searchsorted(np.cumsum(unigram), again.random((2, noise))), 11)
+    for at, z in zip(np.split(order, 2), drawn, strict=True):
+        r, c, q, b = want
+        grads = [np.zeros_like(x) for x in want]
+        for i in at:
+            hidden = sum(r[context[i, j]] * c[j] for j in range(log_bilinear.CONTEXT))
+            up = np.zeros_like(hidden)
+            for w, sign in [(target[i], 1), *((w, -1) for w in z)]:
+                g = sign / (1 + np.exp(sign * (hidden @ q[w] + b[w] - np.log(noise * unigram[w])))) / len(at)
+                grads[2][w] += g * hidden
+                grads[3][w] += g
+                up += g * q[w]
+            for j in range(log_bilinear.CONTEXT):
+                grads[0][context[i, j]] += up * c[j]
+                grads[1][j] += up * r[context[i, j]]
+        for x, s, g in zip(want, sums, grads, strict=True):
+            s += g * g
+            x += rate * g / np.sqrt(s)
+    assert all(np.allclose(x, y, atol=1e-3) for x, y in zip(got, want, strict=True))
+
+
 def test_scores_of_rare_words_depend_on_the_context(spark):
     """Same words, other order: only a model that tells rare words apart scores the trained order higher."""
     common = [(i, " ".join(f"w{j}" for j in range(520)) * 2) for i in range(20)]
