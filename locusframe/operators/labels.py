@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .statistics import in_ranges
+
 
 def labels_at(points: DataFrame, reference: DataFrame) -> DataFrame:
     """``points`` with the label of the reference point at exactly the same x, y, z; -1 where there is none, the lowest of several."""
@@ -83,16 +85,23 @@ def unique_best(candidates: DataFrame) -> DataFrame:
 def nearest_angle(a: DataFrame, b: DataFrame) -> DataFrame:
     """(grp, id, offset) in degrees from each angle of ``a(grp, id, turn)`` to the nearest of ``b(grp, turn)`` of the group.
 
-    Both sides run through one ordered window, so an angle meets the one
-    before and the one after it and no pairs are made.
+    Both sides are dealt to ranges of group and angle, and an angle meets the
+    one before and the one after it by running windows within a range, or at
+    the ends of the ranges before and after; no pairs are made.
     """
     both = a.select("grp", "id", "turn").unionByName(b.select("grp", F.lit(None).cast("bigint").alias("id"), "turn"))
-    other = F.when(F.col("id").isNull(), F.col("turn"))
-    marked = both.withColumn("other", other)
-    seen = marked.selectExpr(
-        "*", "last_value(other) ignore nulls over (partition by grp order by turn rows between unbounded preceding and current row) as before",
-        "first_value(other) ignore nulls over (partition by grp order by turn rows between current row and unbounded following) as after",
-        "min(other) over (partition by grp) as least", "max(other) over (partition by grp) as most",
+    dealt = in_ranges(both.where("grp is not null"), "grp", "turn")
+    marked = dealt.withColumn("other", F.when(F.col("id").isNull(), F.col("turn")))
+    edges = marked.groupBy("part", "grp").agg(F.min("other").alias("low"), F.max("other").alias("high")).selectExpr(
+        "part", "grp", "max(high) over (partition by grp order by part rows between unbounded preceding and 1 preceding) as earlier",
+        "min(low) over (partition by grp order by part desc rows between unbounded preceding and 1 preceding) as later",
+        "min(low) over (partition by grp) as least", "max(high) over (partition by grp) as most",
     )
+    # Backwards too the frame ends at the row: one that begins there is gone through anew for every row.
+    seen = marked.selectExpr(
+        "part", "grp", "id", "turn", "last_value(other) ignore nulls over (partition by part, grp order by turn, id nulls first rows between unbounded preceding and current row) as before",
+        "last_value(other) ignore nulls over (partition by part, grp order by turn desc, id desc nulls last rows between unbounded preceding and current row) as after",
+    ).where("id is not null")
     apart = lambda x: F.least(F.abs(F.col("turn") - x), 360.0 - F.abs(F.col("turn") - x))
-    return seen.where("id is not null and least is not null").select("grp", "id", F.least(*(apart(F.col(c)) for c in ("before", "after", "least", "most"))).alias("offset"))
+    placed = seen.join(edges, ["part", "grp"]).where("least is not null")
+    return placed.select("grp", "id", F.least(*(apart(F.col(c)) for c in ("before", "after", "earlier", "later", "least", "most"))).alias("offset"))
