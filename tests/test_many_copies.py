@@ -60,3 +60,10 @@ def test_angles_over_the_ends_of_ranges(spark):
     want = {(g, i): min(min(abs(t - s), 360 - abs(t - s)) for h, s in b if h == g) for g, i, t in a}
     got = labels.nearest_angle(spark.createDataFrame(a, "grp string, id long, turn double"), spark.createDataFrame(b, "grp string, turn double"))
     assert {(r.grp, r.id): r.offset for r in got.collect()} == want
+
+
+def test_neighbour_count_of_copies(spark, parts):
+    got = {r.id: r.n for r in asked(spark, parts, "neighbour_count")}
+    assert len(got) == 4 * COPIES + 5
+    assert {(i % 4, n) for i, n in got.items() if i < 4 * COPIES} == {(0, 3 * COPIES), (1, 4 * COPIES), (2, 4 * COPIES), (3, 3 * COPIES)}
+    assert [got[4 * COPIES + k] for k in range(5)] == [2, 3, 3, 3, 2]
