@@ -67,3 +67,9 @@ def test_neighbour_count_of_copies(spark, parts):
     assert len(got) == 4 * COPIES + 5
     assert {(i % 4, n) for i, n in got.items() if i < 4 * COPIES} == {(0, 3 * COPIES), (1, 4 * COPIES), (2, 4 * COPIES), (3, 3 * COPIES)}
     assert [got[4 * COPIES + k] for k in range(5)] == [2, 3, 3, 3, 2]
+
+
+def test_counts_within_of_copies(spark, parts):
+    (got,) = asked(spark, parts, "counts_within")
+    n = 4 * COPIES + 5
+    assert got.n_points == n and got.mean == round((14 * COPIES * COPIES + 13) / n, 6) and got["median"] == 3 * COPIES
