@@ -73,3 +73,8 @@ def test_counts_within_of_copies(spark, parts):
     (got,) = asked(spark, parts, "counts_within")
     n = 4 * COPIES + 5
     assert got.n_points == n and got.mean == round((14 * COPIES * COPIES + 13) / n, 6) and got["median"] == 3 * COPIES
+
+
+def test_core_flags_of_copies(spark, parts):
+    got = {r.id: r.core for r in asked(spark, parts, "dbscan_core_flags")}
+    assert len(got) == 4 * COPIES + 5 and all(core == (i < 4 * COPIES) for i, core in got.items())
