@@ -78,3 +78,22 @@ def test_counts_within_of_copies(spark, parts):
 def test_core_flags_of_copies(spark, parts):
     got = {r.id: r.core for r in asked(spark, parts, "dbscan_core_flags")}
     assert len(got) == 4 * COPIES + 5 and all(core == (i < 4 * COPIES) for i, core in got.items())
+
+
+def test_knn_3_of_copies(spark, parts):
+    got = {}
+    for r in asked(spark, parts, "knn_3"):
+        got.setdefault(r.id, {})[r["rank"]] = (r.other, r.d)
+    for i in range(4 * COPIES):
+        first = [j for j in range(i % 4, 17, 4) if j != i][:3]
+        assert got[i] == {k + 1: (j, 0.0) for k, j in enumerate(first)}
+    end = 4 * COPIES
+    assert got[end] == {1: (end + 1, 10.0), 2: (end + 2, 20.0), 3: (end + 3, 30.0)} and got[end + 2] == {1: (end + 1, 10.0), 2: (end + 3, 10.0), 3: (end, 20.0)}
+
+
+def test_nearest_of_points_that_share_places_in_part(spark):
+    rng = np.random.default_rng(3)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 7, (120, 2)))]
+    want = {(i, k + 1): (j, d) for i, a, b in pts for k, (d, j) in enumerate(sorted((math.dist((a, b), (x, y)), j) for j, x, y in pts if j != i)[:5])}
+    found = neighbours.nearest(spark.createDataFrame(pts, "id long, x double, y double"), 5, 0.3).collect()
+    assert {(r.id, r["rank"]): (r.other, r.d) for r in found} == want and len(found) == len(want)
