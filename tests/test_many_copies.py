@@ -97,3 +97,8 @@ def test_nearest_of_points_that_share_places_in_part(spark):
     want = {(i, k + 1): (j, d) for i, a, b in pts for k, (d, j) in enumerate(sorted((math.dist((a, b), (x, y)), j) for j, x, y in pts if j != i)[:5])}
     found = neighbours.nearest(spark.createDataFrame(pts, "id long, x double, y double"), 5, 0.3).collect()
     assert {(r.id, r["rank"]): (r.other, r.d) for r in found} == want and len(found) == len(want)
+
+
+def test_k_distance_of_copies(spark, parts):
+    (got,) = asked(spark, parts, "k_distance")
+    assert (got["median"], got.eps, got.largest) == (0.0, 0.0, 30.0)
