@@ -102,3 +102,10 @@ def test_nearest_of_points_that_share_places_in_part(spark):
 def test_k_distance_of_copies(spark, parts):
     (got,) = asked(spark, parts, "k_distance")
     assert (got["median"], got.eps, got.largest) == (0.0, 0.0, 30.0)
+
+
+def test_knn_density_of_copies(spark, parts):
+    got = {r.id: r.density for r in asked(spark, parts, "knn_density")}
+    end = 4 * COPIES
+    # No distance at all counts as the least there is, 20 from the middle one of the five.
+    assert {got[i] for i in range(end)} == {got[end + 2]} == {round(4 / (math.pi * 400), 9)} and got[end] == round(4 / (math.pi * 1600), 9)
