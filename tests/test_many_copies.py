@@ -109,3 +109,9 @@ def test_knn_density_of_copies(spark, parts):
     end = 4 * COPIES
     # No distance at all counts as the least there is, 20 from the middle one of the five.
     assert {got[i] for i in range(end)} == {got[end + 2]} == {round(4 / (math.pi * 400), 9)} and got[end] == round(4 / (math.pi * 1600), 9)
+
+
+def test_mutual_neighbours_of_copies(spark, parts):
+    end = 4 * COPIES
+    got = sorted((r.a, r.b, r.d) for r in asked(spark, parts, "mutual_neighbours"))
+    assert got == [(i, i + 4, 0.0) for i in range(4)] + [(end, end + 1, 10.0)]
