@@ -115,3 +115,8 @@ def test_mutual_neighbours_of_copies(spark, parts):
     end = 4 * COPIES
     got = sorted((r.a, r.b, r.d) for r in asked(spark, parts, "mutual_neighbours"))
     assert got == [(i, i + 4, 0.0) for i in range(4)] + [(end, end + 1, 10.0)]
+
+
+def test_neighbour_summary_of_copies(spark, parts):
+    (got,) = asked(spark, parts, "neighbour_summary")
+    assert tuple(got[c] for c in ("n", "least", "q1", "median", "q3")) == (4 * COPIES + 5, 0.0, 0.0, 0.0, 0.0)
