@@ -120,3 +120,9 @@ def test_mutual_neighbours_of_copies(spark, parts):
 def test_neighbour_summary_of_copies(spark, parts):
     (got,) = asked(spark, parts, "neighbour_summary")
     assert tuple(got[c] for c in ("n", "least", "q1", "median", "q3")) == (4 * COPIES + 5, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_neighbour_degrees_of_copies(spark, parts):
+    """All of a place are linked to its first four, and these to the fifth."""
+    got = {r.degree: r.n for r in asked(spark, parts, "neighbour_degrees")}
+    assert got == {COPIES - 1: 16, 4: 4 * (COPIES - 4) + 5}
