@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .neighbours import nearest, radius_pairs
+from .neighbours import nearest, places, radius_pairs
 from .regions import distance, edge_distance, edges, in_polygon
 
 
@@ -94,7 +94,9 @@ def kernel_density(points: DataFrame, bandwidth: float, cutoff: float = 3.0) ->
     """(id, density): Gaussian kernels of all points within ``cutoff`` bandwidths, the point itself included."""
     norm = 1 / (2 * math.pi * bandwidth * bandwidth)
     kernel = F.exp(-0.5 * F.col("d") * F.col("d") / (bandwidth * bandwidth))
-    return radius_pairs(points, points, bandwidth * cutoff).groupBy(F.col("a").alias("id")).agg((norm * F.sum(kernel)).alias("density"))
+    spots = places(points)
+    found = radius_pairs(spots, spots, bandwidth * cutoff, ("n",)).groupBy(F.col("a").alias("id")).agg((norm * F.sum(F.col("n") * kernel)).alias("density"))
+    return points.select("id", "x", "y").join(spots.select("id", "x", "y").join(found, "id").select("x", "y", "density"), ["x", "y"]).select("id", "density")
 
 
 def ripley_arc(positions: DataFrame, length: float, radii: list[float]) -> DataFrame:

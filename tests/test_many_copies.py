@@ -126,3 +126,10 @@ def test_neighbour_degrees_of_copies(spark, parts):
     """All of a place are linked to its first four, and these to the fifth."""
     got = {r.degree: r.n for r in asked(spark, parts, "neighbour_degrees")}
     assert got == {COPIES - 1: 16, 4: 4 * (COPIES - 4) + 5}
+
+
+def test_kernel_density_of_copies(spark, parts):
+    got = {r.id: r.density for r in asked(spark, parts, "kernel_density")}
+    kernel = lambda d: math.exp(-0.5 * (d / 6) ** 2) / (2 * math.pi * 36)
+    want = [COPIES * sum(kernel(STEP * (p - q)) for q in range(4)) for p in range(4)]
+    assert len(got) == 4 * COPIES + 5 and all(abs(got[i] - want[i % 4]) < 1e-8 for i in range(4 * COPIES))
