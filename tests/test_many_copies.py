@@ -133,3 +133,19 @@ def test_kernel_density_of_copies(spark, parts):
     kernel = lambda d: math.exp(-0.5 * (d / 6) ** 2) / (2 * math.pi * 36)
     want = [COPIES * sum(kernel(STEP * (p - q)) for q in range(4)) for p in range(4)]
     assert len(got) == 4 * COPIES + 5 and all(abs(got[i] - want[i % 4]) < 1e-8 for i in range(4 * COPIES))
+
+
+def test_dbscan_of_copies(spark, parts):
+    got = {r.id: (r.core, r.label) for r in asked(spark, parts, "dbscan")}
+    assert len(got) == 4 * COPIES + 5 and all(v == ((True, 0) if i < 4 * COPIES else (False, -1)) for i, v in got.items())
+
+
+def test_borders_and_points_without_a_place(spark):
+    """A border of two clusters joins the lower one; copies make a place core."""
+    pts = [(i, 0.0, 0.0) for i in (10, 11, 12)] + [(i, 3.0, 0.0) for i in (5, 6, 7)] + [(1, 1.5, 0.0), (2, None, 0.0), (3, float("nan"), 0.0)]
+    points = spark.createDataFrame(pts, "id long, x double, y double")
+    got = {r.id: (r.core, r.label) for r in clusters.dbscan(points.where("id <> 1"), 1.6, 3).collect()}
+    assert got == {10: (True, 1), 11: (True, 1), 12: (True, 1), 5: (True, 0), 6: (True, 0), 7: (True, 0), 2: (False, -1), 3: (False, -1)}
+    got = {r.id: (r.core, r.label) for r in clusters.dbscan(points.where("id not in (6, 12)"), 1.6, 5).collect()}
+    assert got[1] == (True, 0) and {got[i] for i in (5, 7, 10, 11)} == {(False, 0)}
+    assert {r.id: r.label for r in clusters.single_linkage(points, 1.4, 3).collect()} == {1: -1, 2: -1, 3: -1, 5: 0, 6: 0, 7: 0, 10: 1, 11: 1, 12: 1}
