@@ -149,3 +149,9 @@ def test_borders_and_points_without_a_place(spark):
     got = {r.id: (r.core, r.label) for r in clusters.dbscan(points.where("id not in (6, 12)"), 1.6, 5).collect()}
     assert got[1] == (True, 0) and {got[i] for i in (5, 7, 10, 11)} == {(False, 0)}
     assert {r.id: r.label for r in clusters.single_linkage(points, 1.4, 3).collect()} == {1: -1, 2: -1, 3: -1, 5: 0, 6: 0, 7: 0, 10: 1, 11: 1, 12: 1}
+
+
+def test_cluster_centroids_of_copies(spark, parts):
+    (got,) = asked(spark, parts, "cluster_centroids")
+    n = 4 * COPIES
+    assert (got.label, got.n, got.cx, got.cy) == (0, n, 907.5, 10.0) and abs(got.spread - math.sqrt(31.25 * n / (n - 1))) < 1e-5
