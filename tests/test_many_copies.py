@@ -155,3 +155,8 @@ def test_cluster_centroids_of_copies(spark, parts):
     (got,) = asked(spark, parts, "cluster_centroids")
     n = 4 * COPIES
     assert (got.label, got.n, got.cx, got.cy) == (0, n, 907.5, 10.0) and abs(got.spread - math.sqrt(31.25 * n / (n - 1))) < 1e-5
+
+
+def test_single_linkage_of_copies(spark, parts):
+    got = {r.id: r.label for r in asked(spark, parts, "single_linkage")}
+    assert len(got) == 4 * COPIES + 5 and all(label == (0 if i < 4 * COPIES else -1) for i, label in got.items())
