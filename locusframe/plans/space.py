@@ -98,10 +98,13 @@ def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
 def ripley_k(spark: SparkSession, d: str) -> DataFrame:
     """Counts of ordered pairs within each of a few radii, scaled by area and pairs."""
     p = plane_points(spark, d)
-    pairs = neighbours.radius_pairs(p, p, 20.0).where("a <> b")
+    spots = neighbours.places(p)
+    # All pairs of the points of two places; those of one place less each point with itself.
+    pairs = neighbours.radius_pairs(spots, spots, 20.0, ("n",)).join(spots.select(F.col("id").alias("a"), F.col("n").alias("m")), "a")
+    pairs = pairs.withColumn("many", F.col("m") * F.when(F.col("a") == F.col("b"), F.col("n") - 1).otherwise(F.col("n"))).where("many > 0")
     size = p.agg(F.count("*").alias("n"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area"))
     radii = F.explode(F.array(*(F.lit(r) for r in (5.0, 10.0, 20.0))))
-    counts = pairs.withColumn("r", radii).where("d <= r").groupBy("r").agg(F.count("*").alias("pairs"))
+    counts = pairs.withColumn("r", radii).where("d <= r").groupBy("r").agg(F.sum("many").alias("pairs"))
     return rounded(counts.join(F.broadcast(size)).select("r", (F.col("area") / (F.col("n") * (F.col("n") - 1)) * F.col("pairs")).alias("k")))
 
 

@@ -160,3 +160,11 @@ def test_cluster_centroids_of_copies(spark, parts):
 def test_single_linkage_of_copies(spark, parts):
     got = {r.id: r.label for r in asked(spark, parts, "single_linkage")}
     assert len(got) == 4 * COPIES + 5 and all(label == (0 if i < 4 * COPIES else -1) for i, label in got.items())
+
+
+def test_ripley_k_of_copies(spark, parts):
+    n, area, square = 4 * COPIES + 5, 1100.0 * 40, COPIES * COPIES
+    own = 4 * COPIES * (COPIES - 1)
+    pairs = {5.0: own + 6 * square, 10.0: own + 10 * square + 8, 20.0: own + 12 * square + 14}
+    got = {r.r: r.k for r in asked(spark, parts, "ripley_k")}
+    assert got.keys() == pairs.keys() and all(math.isclose(got[r], area / (n * (n - 1)) * pairs[r], rel_tol=1e-9) for r in pairs)
