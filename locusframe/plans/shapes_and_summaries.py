@@ -73,7 +73,9 @@ def label_correspondence(spark: SparkSession, d: str) -> DataFrame:
 
 def matched_decisions(spark: SparkSession, d: str) -> DataFrame:
     points = plane_points(spark, d)
-    clusters, decisions = points.where("id % 5 = 0"), points.where("id % 7 = 0")
+    # Of the clusters at a place the first is the nearest to any decision, of its decisions the last counts.
+    one = lambda df, pick: neighbours.placed(df).groupBy("x", "y").agg(pick("id").alias("id"))
+    clusters, decisions = one(points.where("id % 5 = 0"), F.min), one(points.where("id % 7 = 0"), F.max)
     pairs = neighbours.radius_pairs(clusters, decisions, RADIUS).select(F.col("a").alias("cluster"), F.col("b").alias("decision"), "d")
     return rounded(labels.matched_decisions(pairs))
 

@@ -191,3 +191,20 @@ def test_repeats_need_the_gap_and_rows_of_one_id_count_together(spark):
     rows = [(1, "a", 0, 0.0, 0.0), (2, "a", 9, 1.0, 0.0), (3, "a", 10, 2.0, 0.0), (4, "a", 50, 9.0, 0.0), (4, "b", 0, 0.0, 0.0), (1, "b", 3, 0.0, 0.0), (5, None, 0, 0.0, 0.0), (6, "b", 900, None, 0.0)]
     locs = spark.createDataFrame(rows, "id long, grp string, frame long, x double, y double")
     assert {r.grp: (r.n, r.fraction) for r in paint.repeat_fraction(locs, 2.0, 10).collect()} == {"a": (4, 0.5), "b": (3, 1 / 3), None: (1, 0.0)}
+
+
+def test_matched_decisions_of_copies(spark, parts):
+    end = 4 * COPIES
+    at = lambda i: ((900 + STEP * (i % 4), 10.0) if i < end else (2000.0, 10.0 * (i - end + 1)))
+    first, last = {}, {}
+    for i in range(end + 5):
+        if i % 5 == 0:
+            first.setdefault(at(i), i)
+        if i % 7 == 0:
+            last[at(i)] = i
+    near = {}
+    for place, i in last.items():
+        d, cluster = min((math.dist(place, p), c) for p, c in first.items())
+        if d <= 12:
+            near[cluster] = max(near.get(cluster, (-1, 0)), (i, d))
+    assert {r.cluster: (r.decision, r.d) for r in asked(spark, parts, "matched_decisions")} == near and len(near) >= 4
