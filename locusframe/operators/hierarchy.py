@@ -1,7 +1,9 @@
 """Hierarchical density clustering: spanning tree of mutual reachability, condensed tree, most stable clusters.
 
-The spanning tree grows by Boruvka rounds: every component takes its lightest
-outgoing edge. Points are summed up by component and grid cell, so that only
+Points of no core distance are equal to others, and of each such place only the
+first goes into the tree; the others hang on it. Up to FEW points the tree is
+one task, which grows it point by point. Beyond, it grows by Boruvka rounds:
+every component takes its lightest outgoing edge. Points are summed up by component and grid cell, so that only
 pairs of cells that can hold such an edge are looked into, within a radius that
 grows from round to round. The condensed tree is made range
 by range of edge weights: the components of a range are independent of each
@@ -10,6 +12,7 @@ other, and each is one group.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +25,8 @@ from .statistics import in_ranges, running
 
 #: Edges of one component that a task goes through at most, unless the lightest of a range are more.
 EDGES = 500_000
+#: Points whose tree one task makes; its work is their square, its memory is in proportion to them.
+FEW = 10_000
 #: Equal points are this far apart, so that their density is finite.
 NEAREST = 1e-9
 
@@ -59,6 +64,27 @@ def _outgoing(nodes: DataFrame, r: float) -> DataFrame:
     return best.select(F.col("ca").alias("comp"), "best.*")
 
 
+def _tree_of_few(part: pd.DataFrame) -> pd.DataFrame:
+    """The least spanning tree of points, ties by (w, a, b): the lightest edge out of the tree is added until no point is left."""
+    ids, x, y, core = (part[c].to_numpy() for c in ("id", "x", "y", "core"))
+    n, here = len(ids), 0
+    w, a, b = np.full(n, np.inf), np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).max)
+    out = np.ones(n, bool)
+    edges = []
+    for _ in range(n - 1):
+        out[here] = False
+        dx, dy = x - x[here], y - y[here]
+        now = np.maximum(np.maximum(core, core[here]), np.sqrt(dx * dx + dy * dy))
+        low, high = np.minimum(ids, ids[here]), np.maximum(ids, ids[here])
+        better = out & ((now < w) | ((now == w) & ((low < a) | ((low == a) & (high < b)))))
+        w[better], a[better], b[better] = now[better], low[better], high[better]
+        left = np.flatnonzero(out)
+        tied = left[w[left] == w[left].min()]
+        here = tied[np.lexsort((b[tied], a[tied]))[0]]
+        edges.append((a[here], b[here], w[here]))
+    return pd.DataFrame(edges, columns=["a", "b", "w"]).astype({"a": "int64", "b": "int64", "w": "float64"})
+
+
 def spanning_tree(points: DataFrame) -> DataFrame:
     """(a, b, w), stored: the least spanning tree of ``points(id, x, y, core)`` by mutual reachability, ties by (w, a, b).
 
@@ -66,13 +92,22 @@ def spanning_tree(points: DataFrame) -> DataFrame:
     Every edge of at most the radius is within it, so what is taken is right
     for all pairs, though few are ever formed.
     """
-    nodes = stored(points.withColumn("comp", F.col("id")), "tree-nodes")
+    # Edges of no weight come first, those from the smallest id of a place before the others of the place.
+    equal = points.where("core = 0").selectExpr("min(id) over (partition by x, y) as a", "id as b")
+    copies = stored(equal.where("a <> b").select("a", "b", F.lit(0.0).alias("w")), "tree-of-copies")
+    nodes = stored(points.join(copies.select(F.col("b").alias("id")), "id", "left_anti").withColumn("comp", F.col("id")), "tree-nodes")
     n, r, *ends = nodes.agg(F.count("*"), F.percentile_approx("core", 0.5), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     none = points.sparkSession.createDataFrame([], f"a {points.schema['id'].dataType.simpleString()}, b {points.schema['id'].dataType.simpleString()}, w double")
     if not n:
         return stored(none, "tree")
-    reach = ((ends[1] - ends[0]) ** 2 + (ends[3] - ends[2]) ** 2) ** 0.5 or 1.0
-    r, parts, left = max(2 * (r or 0.0), reach * 1e-6), [], n
+    if n <= FEW and points.schema["id"].dataType.simpleString() == "bigint":
+        out = stored(nodes.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_tree_of_few, "a long, b long, w double").unionByName(copies), "tree")
+        discard(nodes, copies)
+        return out
+    wide, high = ends[1] - ends[0], ends[3] - ends[2]
+    reach = (wide**2 + high**2) ** 0.5 or 1.0
+    # At least as far as points are from each other where they lie evenly.
+    r, parts, left = max(2 * (r or 0.0), (wide * high / n) ** 0.5, reach * 1e-6), [copies], n
     while left > 1:
         found = stored(_outgoing(nodes, r), "lightest")
         taken = found.select("a", "b", "w").distinct()
@@ -170,7 +205,11 @@ def condensed_tree(ids: DataFrame, tree: DataFrame, least: int) -> tuple[DataFra
             at = lambda c: whole.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
             placed = stored(mine.join(at("a"), "a").join(at("b"), "b").select("e", "w", "root_a", "root_b"), "edges-of-range")
             links = placed.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-            joined = components(links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct(), links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+            ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+            if upto == n:  # the last edges of a tree join all that is left
+                joined = stored(ends.join(F.broadcast(ends.agg(F.min("id").alias("root")))), "last-component")
+            else:
+                joined = components(ends, links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
             groups = placed.join(joined.select(F.col("id").alias("root_a"), F.col("root").alias("grp")), "root_a")
             if upto - done <= EDGES or groups.groupBy("grp").count().agg(F.max("count")).first()[0] <= EDGES:
                 break

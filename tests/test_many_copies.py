@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe import catalog
-from locusframe.operators import clusters, labels, neighbours, paint
+from locusframe.operators import clusters, hierarchy, labels, neighbours, paint
 
 COPIES, STEP = 30_000, 5.0
 
@@ -208,3 +208,43 @@ def test_matched_decisions_of_copies(spark, parts):
         if d <= 12:
             near[cluster] = max(near.get(cluster, (-1, 0)), (i, d))
     assert {r.cluster: (r.decision, r.d) for r in asked(spark, parts, "matched_decisions")} == near and len(near) >= 4
+
+
+@pytest.fixture(scope="module")
+def suppliers(tmp_path_factory):
+    """Suppliers at sixteen places, two groups of eight, 3,000 at each, and one by itself."""
+    made = tmp_path_factory.mktemp("suppliers")
+    i = np.arange(16 * 3000)
+    many = pd.DataFrame({"s_suppkey": i, "s_acctbal": 100.0 * (i % 4) + 5000.0 * (i % 16 // 8), "s_nationkey": i % 8 // 4})
+    one = pd.DataFrame({"s_suppkey": [len(i)], "s_acctbal": [20000.0], "s_nationkey": [0]})
+    pd.concat([many, one]).astype({"s_nationkey": "int32"}).to_parquet(made / "supplier.parquet")
+    return made
+
+
+def test_spanning_tree_of_copies(spark, suppliers):
+    got = sorted((r.w, r.a, r.b) for r in asked(spark, suppliers, "spanning_tree"))
+    assert len(got) == 16 * 3000
+    assert got[: 16 * 2999] == sorted((0.0, i % 16, i) for i in range(16, 16 * 3000))
+    # Along a row 1, from row to row 4, from group to group 47; the far one has a core distance to its second neighbour, a copy of the nearest.
+    assert [(w, a, b) for w, a, b in got[16 * 2999 :]] == [(1.0, r + k, r + k + 1) for r in (0, 4, 8, 12) for k in range(3)] + [(4.0, 0, 4), (4.0, 8, 12), (47.0, 3, 8), (147.0, 11, 48000)]
+
+
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_tree_of_copies_against_all_pairs(spark, few, monkeypatch):
+    """In one task and in rounds, with places of one, two and more points."""
+    monkeypatch.setattr(hierarchy, "FEW", few)
+    rng = np.random.default_rng(8)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 5, (30, 2)))]
+    cores = {i: sorted(math.dist((a, b), (x, y)) for j, x, y in pts if j != i)[1] for i, a, b in pts}
+    above = {i: i for i, *_ in pts}
+
+    def top(x):
+        return x if above[x] == x else top(above[x])
+
+    want = []
+    for w, i, j in sorted((max(cores[i], cores[j], math.dist((a, b), (x, y))), i, j) for i, a, b in pts for j, x, y in pts if i < j):
+        if top(i) != top(j):
+            above[top(i)] = top(j)
+            want.append((i, j, round(w, 9)))
+    found = hierarchy.spanning_tree(hierarchy.core_distances(spark.createDataFrame(pts, "id long, x double, y double"), 2, 1.0)).collect()
+    assert sorted((r.a, r.b, round(r.w, 9)) for r in found) == sorted(want) and len({p[1:] for p in pts}) < 24
