@@ -248,3 +248,10 @@ def test_tree_of_copies_against_all_pairs(spark, few, monkeypatch):
             want.append((i, j, round(w, 9)))
     found = hierarchy.spanning_tree(hierarchy.core_distances(spark.createDataFrame(pts, "id long, x double, y double"), 2, 1.0)).collect()
     assert sorted((r.a, r.b, round(r.w, 9)) for r in found) == sorted(want) and len({p[1:] for p in pts}) < 24
+
+
+def test_hdbscan_of_copies(spark, suppliers):
+    got = {r.id: (r.label, r.leaves) for r in asked(spark, suppliers, "hdbscan")}
+    # Each place is as dense as can be and a cluster of its own; the one by itself is noise.
+    assert len(got) == 16 * 3000 + 1 and got[48000][0] == -1
+    assert all(got[i] == (i % 16, 1e9) for i in range(48000))
