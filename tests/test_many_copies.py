@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe import catalog
-from locusframe.operators import clusters, hierarchy, labels, neighbours, paint
+from locusframe.operators import clusters, hierarchy, labels, neighbours, paint, persistence
 
 COPIES, STEP = 30_000, 5.0
 
@@ -255,3 +255,9 @@ def test_hdbscan_of_copies(spark, suppliers):
     # Each place is as dense as can be and a cluster of its own; the one by itself is noise.
     assert len(got) == 16 * 3000 + 1 and got[48000][0] == -1
     assert all(got[i] == (i % 16, 1e9) for i in range(48000))
+
+
+def test_density_basins_of_copies(spark, suppliers):
+    """The middle places of a group are equally dense, and the first of them is its peak."""
+    got = {r.id: r.peak for r in asked(spark, suppliers, "density_basins")}
+    assert len(got) == 48001 and got[48000] == 48000 and all(got[i] == (1 if i % 16 < 8 else 9) for i in range(48000))
