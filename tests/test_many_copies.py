@@ -261,3 +261,12 @@ def test_density_basins_of_copies(spark, suppliers):
     """The middle places of a group are equally dense, and the first of them is its peak."""
     got = {r.id: r.peak for r in asked(spark, suppliers, "density_basins")}
     assert len(got) == 48001 and got[48000] == 48000 and all(got[i] == (1 if i % 16 < 8 else 9) for i in range(48000))
+
+
+def test_persistence_diagram_of_copies(spark, suppliers):
+    got = {r.peak: (r.birth, r.death, r.prominence) for r in asked(spark, suppliers, "persistence_diagram")}
+    spots = [(x, y) for x in range(4) for y in (0.0, 4.0)]
+    top = 3000 * sum(math.exp(-0.5 * (math.dist((1, 0), s) / 9) ** 2) for s in spots) / (2 * math.pi * 81)
+    least = 1 / (2 * math.pi * 81)
+    assert got.keys() == {1, 9, 48000} and all(v[1] is None for v in got.values())
+    assert all(math.isclose(got[p][0], top, abs_tol=1e-8) and math.isclose(got[p][2], top - least, abs_tol=1e-8) for p in (1, 9)) and got[48000][2] == 0.0
