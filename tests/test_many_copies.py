@@ -270,3 +270,28 @@ def test_persistence_diagram_of_copies(spark, suppliers):
     least = 1 / (2 * math.pi * 81)
     assert got.keys() == {1, 9, 48000} and all(v[1] is None for v in got.values())
     assert all(math.isclose(got[p][0], top, abs_tol=1e-8) and math.isclose(got[p][2], top - least, abs_tol=1e-8) for p in (1, 9)) and got[48000][2] == 0.0
+
+
+def test_tomato_of_copies(spark, suppliers):
+    """A group is a cluster by its points, and one point by itself is none."""
+    got = {r.id: r.label for r in asked(spark, suppliers, "tomato")}
+    assert len(got) == 48001 and got[48000] == -1 and all(got[i] == i % 16 // 8 for i in range(48000))
+
+
+def test_clusters_by_places_are_those_by_points(spark):
+    rng = np.random.default_rng(4)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 9, (90, 2)))]
+    near = lambda p, q: p != q and math.dist(p[1:], q[1:]) <= 1.5
+    f = {p[0]: round(sum(math.exp(-math.dist(p[1:], q[1:]) ** 2) for q in pts), 6) for p in pts}
+    first = {}
+    for p in pts:
+        first.setdefault(p[1:], p[0])
+    spots = [p for p in pts if first[p[1:]] == p[0]]
+    sides = []
+    for some in (pts, spots):
+        rows = [(p[0], f[p[0]], sum(q[1:] == p[1:] for q in pts)) for p in some]
+        nodes = spark.createDataFrame(rows, "id long, f double, n long")
+        graph = spark.createDataFrame([(p[0], q[0]) for p in some for q in some if near(p, q)], "a long, b long")
+        found = {r.id: r.label for r in persistence.tomato(nodes if some is spots else nodes.drop("n"), graph, 0.8, 3).collect()}
+        sides.append({p[0]: found[p[0] if some is pts else first[p[1:]]] for p in pts})
+    assert sides[0] == sides[1] and max(sides[0].values()) >= 2
