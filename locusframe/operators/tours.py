@@ -2,35 +2,45 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Contours of up to so many nodes are solved by going through all sets of nodes.
 EXACT = 9
+#: Small contours of one size that are solved at once.
+AT_ONCE = 2000
+
+
+def shortest_tours(d: np.ndarray) -> np.ndarray:
+    """The shortest closed tour from node 0 of each small distance matrix of ``d``, by dynamic programming over sets of visited nodes; ties go to smaller nodes."""
+    g, n = d.shape[:2]
+    each = np.arange(g)
+    best = {(1 << k, k): d[:, 0, k] for k in range(1, n)}
+    way = np.zeros((1 << (n - 1), n, g), np.int8)
+    for full in range(2, 1 << n, 2):
+        inside = [k for k in range(1, n) if full >> k & 1]
+        for k in inside if len(inside) > 1 else []:
+            rest, others = full ^ (1 << k), [j for j in inside if j != k]
+            lengths = np.stack([best[rest, j] + d[:, j, k] for j in others])
+            at = lengths.argmin(axis=0)
+            best[full, k] = lengths[at, each]
+            way[full >> 1, k] = np.array(others, np.int8)[at]
+    full = np.full(g, (1 << n) - 2)
+    k = 1 + np.stack([best[(1 << n) - 2, j] + d[:, j, 0] for j in range(1, n)]).argmin(axis=0)
+    tours = np.zeros((g, n), np.int64)
+    for place in range(n - 1, 0, -1):
+        tours[:, place] = k
+        full, k = full ^ (1 << k), way[full >> 1, k, each].astype(np.int64)
+    return tours
 
 
 def shortest_tour(d: np.ndarray) -> list[int]:
-    """The shortest closed tour of a small distance matrix, by dynamic programming over sets of visited nodes."""
-    n = len(d)
-    best = {(1 << k, k): (d[0, k], -1) for k in range(1, n)}
-    for full in range(1, 1 << n, 1):
-        if full & 1:
-            continue
-        for k in range(1, n):
-            if full >> k & 1 and full != 1 << k:
-                rest = full ^ (1 << k)
-                best[full, k] = min((best[rest, j][0] + d[j, k], j) for j in range(1, n) if rest >> j & 1)
-    full = (1 << n) - 2
-    k = min(range(1, n), key=lambda j: best[full, j][0] + d[j, 0])
-    tour = []
-    while k > 0:
-        tour.append(k)
-        full, k = full ^ (1 << k), best[full, k][1]
-    return [0, *tour[::-1]]
+    """The shortest closed tour of one small distance matrix."""
+    return shortest_tours(d[None])[0].tolist()
 
 
 def improved(d: np.ndarray, tour: np.ndarray) -> np.ndarray:
@@ -59,28 +69,39 @@ def contour_tours(nodes: DataFrame, starts: int | None = None) -> DataFrame:
     without a place are left out.
     """
     placed = nodes.where("grp is not null and x is not null and y is not null and not isnan(x) and not isnan(y)").select("grp", "id", "x", "y")
-    sizes = placed.groupBy("grp").agg(F.count("*").alias("n")).where("n >= 3")
+    lists = placed.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("id", "x", "y"))).alias("p")).withColumn("n", F.size("p")).where("n >= 3")
     many = F.when(F.col("n") <= EXACT, 1).otherwise(F.col("n") if starts is None else F.least(F.col("n"), F.lit(starts)))
-    dealt = placed.join(sizes, "grp").withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), many.cast("long") - 1))).withColumn("many", many)
-
-    def search(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        p, ids, n = part[["x", "y"]].to_numpy(), part["id"].to_numpy(), len(part)
-        d = np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1])
-        if n <= EXACT:
-            tour = np.array(shortest_tour(d))
-        else:
-            rel = p - p.mean(axis=0)
-            order = np.lexsort((ids, np.arctan2(rel[:, 1], rel[:, 0])))
-            tour = improved(d, np.roll(order, -(int(key[1]) * n // int(part["many"].iloc[0]))))
-        tour = np.roll(tour, -int(np.argmin(tour)))
-        if tour[-1] < tour[1]:
-            tour = np.concatenate([tour[:1], tour[1:][::-1]])
-        length = math.fsum(d[tour, np.roll(tour, -1)])
-        return pd.DataFrame({"grp": [key[0]], "length": [length], "path": [ids[tour].tolist()]})
+    dealt = lists.select("grp", "n", many.alias("many"), F.col("p.id").alias("ids"), F.col("p.x").cast("array<double>").alias("xs"), F.col("p.y").cast("array<double>").alias("ys"))
+    dealt = dealt.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("many").cast("int") - 1))).repartition("grp", "start")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, xs, ys = (batch.column(c).flatten() for c in ("ids", "xs", "ys"))
+            sizes, start, many = (batch.column(c).to_numpy() for c in ("n", "start", "many"))
+            first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
+            p = np.stack([xs.to_numpy(zero_copy_only=False), ys.to_numpy(zero_copy_only=False)], axis=1)
+            for n in np.unique(sizes):
+                rows = np.flatnonzero(sizes == n)
+                step = AT_ONCE if n <= EXACT else 1
+                for i in range(0, len(rows), step):
+                    some = rows[i : i + step]
+                    own = p[first[some][:, None] + np.arange(n)]
+                    d = np.hypot(own[:, :, None, 0] - own[:, None, :, 0], own[:, :, None, 1] - own[:, None, :, 1])
+                    if n <= EXACT:
+                        tours = shortest_tours(d)
+                    else:
+                        rel = own[0] - own[0].mean(axis=0)
+                        order = np.lexsort((np.arange(n), np.arctan2(rel[:, 1], rel[:, 0])))
+                        tour = improved(d[0], np.roll(order, -(int(start[some[0]]) * int(n) // int(many[some[0]]))))
+                        tours = np.roll(tour, -int(np.argmin(tour)))[None]
+                    back = tours[:, -1] < tours[:, 1]
+                    tours[back, 1:] = tours[back, :0:-1]
+                    length = d[np.arange(len(some))[:, None], tours, np.roll(tours, -1, axis=1)].sum(axis=1)
+                    path = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * int(n), pa.int32()), ids.take(pa.array((first[some][:, None] + tours).ravel())))
+                    yield pa.RecordBatch.from_arrays([batch.column("grp").take(pa.array(some)), pa.array(length), path], names=["grp", "length", "path"])
 
     kind = {f.name: f.dataType.simpleString() for f in nodes.schema}
-    found = dealt.groupBy("grp", "start").applyInPandas(search, f"grp {kind['grp']}, length double, path array<{kind['id']}>")
+    found = dealt.mapInArrow(search, f"grp {kind['grp']}, length double, path array<{kind['id']}>")
     # Lengths of one tour from two starts may differ in the last digits, so equal paths are one.
     return found.groupBy("grp").agg(F.min(F.struct(F.round("length", 9).alias("length"), "path")).alias("best")).select("grp", "best.length", "best.path")
 

@@ -295,3 +295,14 @@ def test_clusters_by_places_are_those_by_points(spark):
         found = {r.id: r.label for r in persistence.tomato(nodes if some is spots else nodes.drop("n"), graph, 0.8, 3).collect()}
         sides.append({p[0]: found[p[0] if some is pts else first[p[1:]]] for p in pts})
     assert sides[0] == sides[1] and max(sides[0].values()) >= 2
+
+
+def test_contours_of_many_orders(spark, tmp_path):
+    """Rectangles and triangles of 200,000 orders, and a larger one of ten nodes on a line and back."""
+    i = np.arange(200_000)
+    corner = lambda n, x, y: pd.DataFrame({"l_orderkey": i, "l_linenumber": n, "l_quantity": x, "l_discount": y})
+    rows = pd.concat([corner(1, 0.0, 0.0), corner(2, 30.0, 0.04), corner(3, 30.0, 0.0), corner(4, 0.0, 0.04).iloc[::2], pd.DataFrame({"l_orderkey": 300_000, "l_linenumber": np.arange(10), "l_quantity": np.arange(10.0), "l_discount": 0.0})])
+    rows.astype({"l_linenumber": "int32"}).to_parquet(tmp_path / "lineitem.parquet")
+    got = {r.grp: (r.n, r.length) for r in asked(spark, tmp_path, "contour_tours")}
+    assert len(got) == 200_001 and got[300_000] == (10, 18.0)
+    assert {got[k] for k in range(0, 200_000, 2)} == {(4, 140.0)} and {got[k] for k in range(1, 200_000, 2)} == {(3, 120.0)}
