@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe import catalog
-from locusframe.operators import clusters, hierarchy, labels, neighbours, paint, persistence
+from locusframe.operators import clusters, hierarchy, labels, matching, neighbours, paint, persistence
 
 COPIES, STEP = 30_000, 5.0
 
@@ -306,3 +306,26 @@ def test_contours_of_many_orders(spark, tmp_path):
     got = {r.grp: (r.n, r.length) for r in asked(spark, tmp_path, "contour_tours")}
     assert len(got) == 200_001 and got[300_000] == (10, 18.0)
     assert {got[k] for k in range(0, 200_000, 2)} == {(4, 140.0)} and {got[k] for k in range(1, 200_000, 2)} == {(3, 120.0)}
+
+
+def test_matched_rings_of_copies(spark, tmp_path):
+    """Each ring of a group has as many points as the other, half a step away; the nearest of all pairs is taken for each."""
+    i = np.arange(120_000)
+    pd.DataFrame({"p_partkey": i, "p_retailprice": 900 + 0.5 * (i // 5 % 2) + 1.0 * (i % 30 // 10), "p_size": 1}).astype({"p_size": "int32"}).to_parquet(tmp_path / "part.parquet")
+    got = asked(spark, tmp_path, "matched_rings")
+    assert len(got) == 60_000 and len({r.a for r in got}) == len({r.b for r in got}) == 60_000 and {r.d for r in got} == {0.5}
+    assert all(r.grp == r.a % 5 == r.b % 5 and r.a // 5 % 2 == 0 and r.b // 5 % 2 == 1 for r in got)
+
+
+def test_transport_is_the_assignment_of_every_copy():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        na, nb = rng.integers(1, 5, 2)
+        many_a, many_b = ({k: int(v) for k, v in enumerate(rng.integers(1, 5, m))} for m in (na, nb))
+        links = [(a, b, float(rng.choice([rng.random() * 9, 1.0, 2.0, 0.0]))) for a in range(na) for b in range(nb) if rng.random() < 0.7]
+        cost = {(a, b): d for a, b, d in links}
+        flow = matching.transported(links, many_a, many_b)
+        ones = matching.assigned([(10 * a + i, 10 * b + j, d) for a, b, d in links for i in range(many_a[a]) for j in range(many_b[b])])
+        assert sum(flow.values()) == len(ones) and math.isclose(sum(n * cost[e] for e, n in flow.items()), sum(cost[a // 10, b // 10] for a, b in ones.items()), abs_tol=1e-9)
+        for side, many in ((0, many_a), (1, many_b)):
+            assert all(sum(n for e, n in flow.items() if e[side] == k) <= most for k, most in many.items())
