@@ -329,3 +329,13 @@ def test_transport_is_the_assignment_of_every_copy():
         assert sum(flow.values()) == len(ones) and math.isclose(sum(n * cost[e] for e, n in flow.items()), sum(cost[a // 10, b // 10] for a, b in ones.items()), abs_tol=1e-9)
         for side, many in ((0, many_a), (1, many_b)):
             assert all(sum(n for e, n in flow.items() if e[side] == k) <= most for k, most in many.items())
+
+
+def test_matched_counts_of_copies(spark, tmp_path):
+    """Three of four points are of the first ring, so that a third of them is paired."""
+    i = np.arange(40_000)
+    i = i[(i // 5 % 2 == 0) | (i % 30 >= 20)]
+    pd.DataFrame({"p_partkey": i, "p_retailprice": 900 + 0.5 * (i // 5 % 2), "p_size": 1}).astype({"p_size": "int32"}).to_parquet(tmp_path / "part.parquet")
+    for r in asked(spark, tmp_path, "matched_counts"):
+        n_a, n_b = (sum((i % 5 == r.grp) & (i // 5 % 2 == side)) for side in (0, 1))
+        assert (r.n_a, r.n_b, r.n_pairs, r.total, r.share) == (n_a, n_b, min(n_a, n_b), 0.5 * min(n_a, n_b), 1.0) and n_a > 2 * n_b
